@@ -62,9 +62,9 @@ def order_statistics(df: DataFrame, keys, value: str, ranks: dict[str, Column])
 def quantiles(df: DataFrame, keys, value: str, wanted: dict[str, float]) -> DataFrame:
     """Exact quantiles with linear interpolation; a global call uses no keys."""
     keys = list(keys)
-    source = df
+    source, group = df, keys
     if not keys:
-        source, keys = df.withColumn("_all", F.lit(0)), ["_all"]
+        source, group = df.withColumn("_whole", F.lit(0)), ["_whole"]
     aggregates = []
     for name, q in wanted.items():
         at = (F.col("_n") - 1) * F.lit(float(q))
@@ -74,9 +74,9 @@ def quantiles(df: DataFrame, keys, value: str, wanted: dict[str, float]) -> Data
             _at(base + 1, value).alias(f"_{name}_high"),
             F.max(at - base).alias(f"_{name}_rest"),
         ]
-    picked = value_ranks(source, keys, value).groupBy(*keys).agg(*aggregates)
+    picked = value_ranks(source, group, value).groupBy(*group).agg(*aggregates)
     return picked.select(
-        *[k for k in keys if k != "_all"],
+        *keys,
         *[
             F.coalesce(
                 F.col(f"_{n}_low") + F.col(f"_{n}_rest") * (F.col(f"_{n}_high") - F.col(f"_{n}_low")),

@@ -79,6 +79,13 @@ def lookback(w, value: str, n: int) -> Column:
 # --- frame operators ---------------------------------------------------------
 
 
+def lookbacks(df: DataFrame, n: int, keys=SERIES, ts: str = TS, value: str = "clean_value") -> DataFrame:
+    """Rows that have n predecessors, with those values as an array."""
+    rows = row_positions(df, keys, ts)
+    out = over_chunks(rows, keys, "_pos", lambda w: {"lookback": lookback(w, value, n)}, before=n)
+    return out.filter(F.col("_pos") >= n).drop("_pos")
+
+
 def lags_and_diffs(df: DataFrame, keys=SERIES, ts: str = TS, value: str = "clean_value", lags=LAGS) -> DataFrame:
     rows = row_positions(df, keys, ts)
     return over_chunks(

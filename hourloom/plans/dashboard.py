@@ -112,7 +112,7 @@ def missing_by_pollutant(wide: DataFrame, start: str, end: str) -> DataFrame:
     shares = wide.filter(in_range(start, end)).agg(
         *[percent(F.count_if(F.col(c).isNull()), F.count("*")).alias(label) for c, label in labels.items()]
     )
-    return shares.unpivot([], list(labels.values()), "pollutant", "missing_pct")
+    return shares.unpivot([], [F.col(f"`{name}`") for name in labels.values()], "pollutant", "missing_pct")
 
 
 def status_availability(wide: DataFrame, start: str, end: str) -> DataFrame:

@@ -173,7 +173,7 @@ def scored(spark: SparkSession, folder: str) -> DataFrame:
         "station_code",
         F.element_at(F.array(*[F.lit(c) for c in ITEM_COLUMNS]), (F.col("station_code") % 6 + 1).cast("int"))
         .cast("long").alias("item_code"),
-        (F.col("value") / 1000).alias("score"),
+        (F.round(F.col("value") * 100).cast("long") / 65536).alias("score"),
         (F.col("event_type") == "error").cast("int").alias("label"),
         (F.col("value") > 30).cast("int").alias("flag"),
     )
