@@ -13,7 +13,7 @@ from hourloom.functions.calendar import ntz
 from hourloom.functions.scalars import abnormal_with_value, decimals_to_double, round_columns, usable
 from hourloom.operators import calibrate, evaluate, lookback, panels, profiles, quality, spatial, windows
 from hourloom.operators.ordered import attach, fill_hourly
-from hourloom.plans import dashboard
+from hourloom.plans import dashboard, features
 from hourloom.schemas import ITEM_COLUMNS, READING_KEY, SERIES, TS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -611,3 +611,65 @@ def ensemble_loss(spark, folder):
         *[F.round(mse(m), 4).alias(f"mse_{m}") for m in calibrate.MODELS],
         (mse("ensemble") <= best_single + 1e-6).alias("never_worse"),
     )
+
+
+# --- feature tables ----------------------------------------------------------
+
+
+@query
+def train_features(spark, folder):
+    return features.train_features(fill_hourly(tb.network(spark, folder), SERIES))[0]
+
+
+@query
+def prediction_features(spark, folder):
+    train, targets = _split(spark, folder)
+    return features.prediction_features(targets, fill_hourly(train, SERIES))[0]
+
+
+@query
+def cross_item_features(spark, folder):
+    targets = fill_hourly(tb.network(spark, folder), SERIES).drop("clean_value")
+    return features.cross_item_features(targets, _usable(spark, folder))
+
+
+@query
+def cross_item_prediction(spark, folder):
+    train, targets = _split(spark, folder)
+    hours = fill_hourly(train, SERIES).drop("clean_value")
+    return features.cross_item_features_for_prediction(targets, _usable(spark, folder), hours)
+
+
+@query
+def direct_features(spark, folder):
+    return features.direct_features(tb.network(spark, folder))[0].select(*SERIES, TS, *features.DIRECT_COLUMNS)
+
+
+@query
+def global_features(spark, folder):
+    rows = _usable(spark, folder).withColumns({"latitude": tb.latitude(), "longitude": tb.longitude()})
+    built, columns = features.global_features(rows, None, ntz(tb.FIRST_HOUR))
+    return built.select(TS, *columns)
+
+
+@query
+def anomaly_features(spark, folder):
+    rows = tb.network(spark, folder)
+    built, columns = features.anomaly_features(rows)
+    kept = [c for c in columns if not c.startswith("zscore") and c != "month"]
+    return built.select(*SERIES, TS, *kept)
+
+
+@query
+def anomaly_zscores(spark, folder):
+    """z-scores; rows whose window does not move divide by the tiny floor and are left to the unit tests."""
+    rows = windows.rolling_statistics(tb.network(spark, folder))
+    moving = [F.when(F.col(f"rstd_{n}") > 1e-9, F.col(f"zscore_{n}")).alias(f"zscore_{n}") for n in windows.ROLLING_WINDOWS]
+    return rows.select(*SERIES, TS, *moving)
+
+
+@query
+def baseline_anomaly_features(spark, folder):
+    built, columns = features.baseline_anomaly_features(tb.cleaned(spark, folder).select(*SERIES, TS, "clean_value"))
+    kept = [c for c in columns if not c.startswith("dev_from")]
+    return built.select(*SERIES, TS, *kept)

@@ -90,15 +90,18 @@ def chunk_window(keys, index: str):
     return Window.partitionBy(*keys, "_chunk").orderBy(index)
 
 
-def home_rows(df: DataFrame) -> DataFrame:
-    return df.filter("_home").drop("_home", "_chunk")
+def over_chunks(
+    df: DataFrame, keys, index: str, build, before: int, after: int = 0, chunk: int = CHUNK, keep_chunk: bool = False
+) -> DataFrame:
+    """Evaluate ``build(window)`` -> {name: Column} for every row of every series.
 
-
-def over_chunks(df: DataFrame, keys, index: str, build, before: int, after: int = 0, chunk: int = CHUNK) -> DataFrame:
-    """Evaluate ``build(window)`` -> {name: Column} for every row of every series."""
+    ``keep_chunk`` leaves ``_chunk`` in place: rows are then still partitioned
+    by (series, chunk), and a following per-chunk step needs no exchange.
+    """
     framed = with_halo(df, index, before, after, chunk)
     columns = build(chunk_window(keys, index))
-    return home_rows(framed.select("*", *[c.alias(n) for n, c in columns.items()]))
+    out = framed.select("*", *[c.alias(n) for n, c in columns.items()]).filter("_home").drop("_home")
+    return out if keep_chunk else out.drop("_chunk")
 
 
 def last_before_chunk(df: DataFrame, keys, index: str, facts: dict[str, Column], chunk: int = CHUNK) -> DataFrame:

@@ -13,7 +13,6 @@ from hourloom.functions.scalars import floor_at
 from hourloom.operators.ordered import (
     CHUNK,
     attach,
-    chunk_of,
     last_before_chunk,
     over_chunks,
     row_positions,
@@ -73,7 +72,9 @@ def spike(w, value: str) -> Column:
 def lookback(w, value: str, n: int) -> Column:
     """Array of the n previous values, oldest first; NULL until the window is full."""
     frame = w.rowsBetween(-n, -1)
-    return F.when(F.count(F.lit(1)).over(frame) == n, F.collect_list(value).over(frame))
+    # wrapped in a struct, because collect_list leaves out bare NULLs
+    held = F.collect_list(F.struct(F.col(value).alias("v"))).over(frame)
+    return F.when(F.count(F.lit(1)).over(frame) == n, held.getField("v"))
 
 
 # --- frame operators ---------------------------------------------------------
@@ -118,36 +119,35 @@ def flatlines(df: DataFrame, keys=SERIES, ts: str = TS, value: str = "clean_valu
     ).drop("_pos")
 
 
-def count_identical(positioned: DataFrame, keys, value: str, out: str = "consecutive_same", chunk: int = CHUNK):
+def same_as_before(w, value: str) -> Column:
+    return F.coalesce(F.col(value) == F.lag(value).over(w), F.lit(False))
+
+
+def count_identical(marked: DataFrame, keys, chunk: int = CHUNK, out: str = "consecutive_same") -> DataFrame:
     """Readings in a row equal to their predecessor; 0 when the value changed.
 
-    ``positioned`` carries ``_pos``.  A run may span any number of chunks: the
-    position of the last change before a chunk arrives as one row per chunk.
+    ``marked`` carries ``_pos``, ``_chunk`` and ``_same``.  A run may span any
+    number of chunks: the position of the last change before a chunk arrives as
+    one row per chunk.
     """
     keys = list(keys)
-    marked = over_chunks(
-        positioned,
-        keys,
-        "_pos",
-        lambda w: {"_same": F.coalesce(F.col(value) == F.lag(value).over(w), F.lit(False))},
-        before=1,
-        chunk=chunk,
-    )
     change = F.when(~F.col("_same"), F.col("_pos"))
     carry = last_before_chunk(marked.select(*keys, "_pos", "_same"), keys, "_pos", {"_carry": change}, chunk)
-    running = (
-        Window.partitionBy(*keys, "_chunk").orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+    running = Window.partitionBy(*keys, "_chunk").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
     return (
-        marked.withColumn("_chunk", chunk_of(F.col("_pos"), chunk))
+        marked.withColumn("_change", F.max(change).over(running))
         .join(carry, [*keys, "_chunk"])
-        .withColumn(out, F.col("_pos") - F.coalesce(F.max(change).over(running), F.col("_carry")))
-        .drop("_chunk", "_carry", "_same")
+        .withColumn(out, F.col("_pos") - F.coalesce("_change", "_carry"))
+        .drop("_chunk", "_carry", "_change", "_same")
     )
 
 
 def stuck_runs(df: DataFrame, keys=SERIES, ts: str = TS, value: str = "clean_value") -> DataFrame:
-    return count_identical(row_positions(df, keys, ts), keys, value).drop("_pos")
+    rows = row_positions(df, keys, ts)
+    marked = over_chunks(
+        rows, keys, "_pos", lambda w: {"_same": same_as_before(w, value)}, before=1, keep_chunk=True
+    )
+    return count_identical(marked, keys).drop("_pos")
 
 
 def drop_short_runs(

@@ -644,3 +644,182 @@ oracle(
     """SELECT station_code, item_code, count(*) AS n, round(avg((y_true - lgbm) * (y_true - lgbm)), 4) AS mse_lgbm, round(avg((y_true - ridge) * (y_true - ridge)), 4) AS mse_ridge,
 round(avg((y_true - naive) * (y_true - naive)), 4) AS mse_naive, true AS never_worse FROM forecasts GROUP BY ALL""",
 )
+
+# --- feature tables ----------------------------------------------------------
+
+
+def calendar_columns(t: str = "measurement_datetime") -> list[str]:
+    return [
+        f"hour({t})::INTEGER AS hour",
+        f"(isodow({t}) - 1)::INTEGER AS day_of_week",
+        f"month({t})::INTEGER AS month",
+        f"dayofyear({t})::INTEGER AS day_of_year",
+        f"CAST(isodow({t}) >= 6 AS INTEGER) AS is_weekend",
+    ]
+
+
+def cyclical_columns(t: str = "measurement_datetime") -> list[str]:
+    parts = {"hour": (f"hour({t})", 24), "dow": (f"(isodow({t}) - 1)", 7), "month": (f"month({t})", 12)}
+    return [f"round({f}({TWO_PI} * {e} / {n}), 6) AS {name}_{f}" for name, (e, n) in parts.items() for f in ("sin", "cos")]
+
+
+def fourier_columns(t: str) -> list[str]:
+    return [
+        f"round({f}({TWO_PI} * {k} * {t} / {p}), 6) AS four_{n}_{f}_{k}"
+        for n, p, terms in FOURIER
+        for k in range(1, terms + 1)
+        for f in ("sin", "cos")
+    ]
+
+
+SINCE = "((epoch(measurement_datetime) - epoch(min(measurement_datetime) OVER (PARTITION BY station_code, item_code))) / 3600)"
+
+
+def rolling_pair(n: int) -> list[str]:
+    w = f"OVER ({SERIES_W} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
+    return [f"round(avg(clean_value) {w}, 6) AS rolling_mean_{n}h", f"round(stddev_samp(clean_value) {w}, 6) AS rolling_std_{n}h"]
+
+
+oracle(
+    "train_features",
+    f"SELECT {KEY}, clean_value, "
+    + ", ".join(
+        calendar_columns()
+        + cyclical_columns()
+        + fourier_columns(SINCE)
+        + [encoding(p) for p in PARTS]
+        + [f"lag(clean_value, {k}) OVER ({SERIES_W}) AS anchor_lag_{k}h" for k in ANCHORS]
+        + rolling_pair(24)
+        + rolling_pair(168)
+    )
+    + " FROM filled",
+)
+
+TRAIN_NET = f"SELECT * FROM network WHERE measurement_datetime < {CUT}"
+TRAIN_SPINE = """SELECT station_code, item_code, unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS measurement_datetime
+FROM (SELECT station_code, item_code, min(measurement_datetime) AS lo, max(measurement_datetime) AS hi FROM train_net GROUP BY ALL)"""
+TRAIN_FILLED = BASE["filled"].replace("FROM spine LEFT JOIN network", "FROM train_spine LEFT JOIN train_net")
+TARGETS = f"SELECT station_code, item_code, measurement_datetime FROM network WHERE measurement_datetime >= {CUT}"
+
+
+def level_table(level: str) -> str:
+    parts = PARTS.get(level, [])
+    names = [f"{p} AS k{i}" for i, p in enumerate(parts)]
+    return f"(SELECT {', '.join(['station_code', 'item_code', *names])}, count(clean_value) AS n, avg(clean_value) AS m FROM train_filled GROUP BY ALL)"
+
+
+def level_join(level: str) -> str:
+    on = [f"{level}_t.station_code = t.station_code", f"{level}_t.item_code = t.item_code"]
+    on += [f"{level}_t.k{i} = {p.replace('measurement_datetime', 't.measurement_datetime')}" for i, p in enumerate(PARTS.get(level, []))]
+    return f"LEFT JOIN {level_table(level)} {level}_t ON {' AND '.join(on)}"
+
+
+def level_encoding(level: str) -> str:
+    n, m = f"{level}_t.n", f"{level}_t.m"
+    return f"round(coalesce({n} / ({n} + 10.0::DOUBLE) * {m} + (1 - {n} / ({n} + 10.0::DOUBLE)) * all_t.m, all_t.m), 6) AS enc_{level}"
+
+
+oracle(
+    "prediction_features",
+    "SELECT t.station_code, t.item_code, t.measurement_datetime, CAST(date_diff('hour', min(t.measurement_datetime) OVER (PARTITION BY t.station_code, t.item_code), t.measurement_datetime) AS BIGINT) AS horizon_step, "
+    + ", ".join(
+        calendar_columns("t.measurement_datetime")
+        + cyclical_columns("t.measurement_datetime")
+        + fourier_columns("((epoch(t.measurement_datetime) - epoch(e.lo)) / 3600)")
+        + [level_encoding(p) for p in PARTS]
+        + [f"a{k}.clean_value AS anchor_lag_{k}h" for k in ANCHORS]
+        + [f"round(e.m{n}, 6) AS rolling_mean_{n}h, round(e.s{n}, 6) AS rolling_std_{n}h" for n in (24, 168)]
+    )
+    + " FROM targets t "
+    + " ".join(level_join(p) for p in ("all", *PARTS))
+    + " "
+    + " ".join(
+        f"LEFT JOIN train_filled a{k} ON a{k}.station_code = t.station_code AND a{k}.item_code = t.item_code AND a{k}.measurement_datetime = t.measurement_datetime - INTERVAL {k} HOUR"
+        for k in ANCHORS
+    )
+    + """ LEFT JOIN (SELECT station_code, item_code, min(measurement_datetime) AS lo, avg(CASE WHEN rn <= 24 THEN clean_value END) AS m24, stddev_samp(CASE WHEN rn <= 24 THEN clean_value END) AS s24,
+avg(CASE WHEN rn <= 168 THEN clean_value END) AS m168, stddev_samp(CASE WHEN rn <= 168 THEN clean_value END) AS s168 FROM (
+SELECT *, row_number() OVER (PARTITION BY station_code, item_code ORDER BY measurement_datetime DESC) AS rn FROM train_filled) GROUP BY ALL) e ON e.station_code = t.station_code AND e.item_code = t.item_code""",
+    train_net=TRAIN_NET,
+    train_spine=TRAIN_SPINE,
+    train_filled=TRAIN_FILLED,
+    targets=TARGETS,
+)
+
+ITEM_SUFFIX = {0: "so2", 2: "no2", 4: "co", 5: "o3", 7: "pm10", 8: "pm2_5"}
+CROSS = """SELECT t.station_code, t.item_code, t.measurement_datetime, t.other, coalesce(
+  last_value(r.clean_value IGNORE NULLS) OVER (PARTITION BY t.station_code, t.item_code, t.other ORDER BY t.measurement_datetime ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+  first_value(r.clean_value IGNORE NULLS) OVER (PARTITION BY t.station_code, t.item_code, t.other ORDER BY t.measurement_datetime ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS v
+FROM (SELECT s.*, o.other FROM {spine} s JOIN (SELECT unnest([0, 2, 4, 5, 7, 8]) AS other) o ON o.other <> s.item_code) t
+LEFT JOIN usable r ON r.station_code = t.station_code AND r.item_code = t.other AND r.measurement_datetime = t.measurement_datetime"""
+CROSS_W = "PARTITION BY station_code, item_code, other ORDER BY measurement_datetime"
+oracle(
+    "cross_item_features",
+    f"SELECT {KEY}, "
+    + ", ".join(
+        f"max(CASE WHEN other = {c} THEN l168 END) AS xpol_{n}_lag168h, max(CASE WHEN other = {c} THEN l336 END) AS xpol_{n}_lag336h, round(max(CASE WHEN other = {c} THEN r24 END), 6) AS xpol_{n}_rmean24"
+        for c, n in ITEM_SUFFIX.items()
+    )
+    + f""" FROM (SELECT *, lag(v, 168) OVER ({CROSS_W}) AS l168, lag(v, 336) OVER ({CROSS_W}) AS l336, avg(v) OVER ({CROSS_W} ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING) AS r24 FROM crossed) GROUP BY ALL""",
+    crossed=CROSS.format(spine="spine"),
+)
+oracle(
+    "cross_item_prediction",
+    "SELECT t.station_code, t.item_code, t.measurement_datetime, "
+    + ", ".join(
+        f"max(CASE WHEN o.other = {c} THEN a.clean_value END) AS xpol_{n}_lag168h, max(CASE WHEN o.other = {c} THEN b.clean_value END) AS xpol_{n}_lag336h, round(max(CASE WHEN o.other = {c} THEN h.m END), 6) AS xpol_{n}_rmean24"
+        for c, n in ITEM_SUFFIX.items()
+    )
+    + """ FROM targets t JOIN (SELECT unnest([0, 2, 4, 5, 7, 8]) AS other) o ON o.other <> t.item_code
+LEFT JOIN usable a ON a.station_code = t.station_code AND a.item_code = o.other AND a.measurement_datetime = t.measurement_datetime - INTERVAL 168 HOUR
+LEFT JOIN usable b ON b.station_code = t.station_code AND b.item_code = o.other AND b.measurement_datetime = t.measurement_datetime - INTERVAL 336 HOUR
+LEFT JOIN (SELECT station_code, item_code, other, hour(measurement_datetime) AS h, avg(v) AS m FROM crossed GROUP BY ALL) h ON h.station_code = t.station_code AND h.item_code = t.item_code AND h.other = o.other AND h.h = hour(t.measurement_datetime)
+GROUP BY t.station_code, t.item_code, t.measurement_datetime""",
+    train_net=TRAIN_NET,
+    train_spine=TRAIN_SPINE,
+    targets=TARGETS,
+    crossed=CROSS.format(spine="train_spine"),
+)
+HOUR_STATS = f"""round(avg(clean_value) {over('hour')}, 6) AS hour_mean, round(stddev_samp(clean_value) {over('hour')}, 6) AS hour_std,
+round(quantile_cont(clean_value, 0.5) {over('hour')}, 6) AS hour_median, round(CASE WHEN count(clean_value) {over('hour_dow')} = 0 THEN avg(clean_value) {over('hour')} ELSE avg(clean_value) {over('hour_dow')} END, 6) AS hour_dow_mean,
+round(CASE WHEN count(clean_value) {over('hour_dow')} = 0 THEN stddev_samp(clean_value) {over('hour')} ELSE stddev_samp(clean_value) {over('hour_dow')} END, 6) AS hour_dow_std,
+round(coalesce(avg(clean_value) {over('month_hour')}, avg(clean_value) {over('hour')}), 6) AS month_hour_mean"""
+oracle("direct_features", f"SELECT {KEY}, {', '.join(calendar_columns() + cyclical_columns())}, {HOUR_STATS} FROM network")
+oracle(
+    "global_features",
+    f"SELECT {KEY}, {LAT.format('station_code')} AS latitude, {LON.format('station_code')} AS longitude, ".replace(
+        LAT.format("station_code"), f"round({LAT.format('station_code')}, 6)"
+    ).replace(LON.format("station_code"), f"round({LON.format('station_code')}, 6)")
+    + ", ".join(
+        calendar_columns() + cyclical_columns() + fourier_columns("((epoch(measurement_datetime) - epoch(TIMESTAMP '2021-01-20 00:00:00')) / 3600)")
+    )
+    + f""", round(coalesce(avg(clean_value) {over('hour')}, avg(clean_value) {over('all')}), 6) AS enc_hour, round(coalesce(avg(clean_value) {over('hour_dow')}, avg(clean_value) {over('all')}), 6) AS enc_hour_dow,
+round(coalesce(avg(clean_value) {over('month_hour')}, avg(clean_value) {over('all')}), 6) AS enc_month_hour, round(avg(clean_value) {over('all')}, 6) AS group_mean, round(stddev_samp(clean_value) {over('all')}, 6) AS group_std FROM usable""",
+)
+DEV = f"round((clean_value - quantile_cont(clean_value, 0.5) {over('hour')}) / greatest(stddev_samp(clean_value) {over('hour')}, 1e-10), 6)"
+DEV = f"CASE WHEN stddev_samp(clean_value) {over('hour')} IS NOT NULL THEN {DEV} END"
+oracle(
+    "anomaly_features",
+    f"SELECT {KEY}, clean_value AS value, round(ln(1 + clean_value), 6) AS log_value, {', '.join(rolling_columns('clean_value') + lag_columns('clean_value'))}, "
+    f"row_number() OVER (PARTITION BY station_code, item_code, island ORDER BY measurement_datetime) - 1 AS consecutive_same, {flat(6, 3)} AS flatline_6h, {flat(12, 6)} AS flatline_12h, "
+    f"CAST(coalesce(clean_value = 0, false) AS INTEGER) AS at_zero, CAST(coalesce(clean_value < 0, false) AS INTEGER) AS at_negative, "
+    f"abs(clean_value - (lag(clean_value) OVER ({SERIES_W}) + lead(clean_value) OVER ({SERIES_W})) / 2) AS spike_score, "
+    + ", ".join(cyclical_columns()[:4])
+    + f", CAST(isodow(measurement_datetime) >= 6 AS INTEGER) AS is_weekend, {DEV} AS dev_from_hourly_median FROM ("
+    f"SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER ({SERIES_W}) AS island FROM (SELECT *, coalesce(clean_value = lag(clean_value) OVER ({SERIES_W}), false) AS same FROM network))",
+)
+
+
+def zscore(n: int) -> str:
+    w = f"OVER ({SERIES_W} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
+    return f"round(CASE WHEN stddev_samp(clean_value) {w} > 1e-9 THEN (clean_value - avg(clean_value) {w}) / stddev_samp(clean_value) {w} END, 6) AS zscore_{n}"
+
+
+oracle("anomaly_zscores", f"SELECT {KEY}, {', '.join(zscore(n) for n in WINDOWS)} FROM network")
+LAG1, LAG24 = f"lag(clean_value) OVER ({SERIES_W})", f"lag(clean_value, 24) OVER ({SERIES_W})"
+oracle(
+    "baseline_anomaly_features",
+    f"""SELECT {KEY}, clean_value AS value, clean_value - {LAG1} AS diff_1h, clean_value - {LAG24} AS diff_24h, abs(clean_value - {LAG1}) AS abs_diff_1h, clean_value - {LAG24} AS diff_from_yesterday,
+CAST(same AS INTEGER) AS same_as_prev, row_number() OVER (PARTITION BY station_code, item_code, island ORDER BY measurement_datetime) - 1 AS consecutive_same, hour(measurement_datetime)::INTEGER AS hour, (isodow(measurement_datetime) - 1)::INTEGER AS day_of_week
+FROM (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER ({SERIES_W}) AS island FROM (SELECT *, coalesce(clean_value = lag(clean_value) OVER ({SERIES_W}), false) AS same FROM cleaned))""",
+)
