@@ -11,9 +11,9 @@ from hourloom import testbed as tb
 from hourloom.functions import calendar
 from hourloom.functions.calendar import ntz
 from hourloom.functions.scalars import abnormal_with_value, decimals_to_double, round_columns, usable
-from hourloom.operators import calibrate, evaluate, lookback, panels, profiles, quality, spatial, windows
+from hourloom.operators import calibrate, evaluate, lookback, models, panels, profiles, quality, spatial, windows
 from hourloom.operators.ordered import attach, fill_hourly
-from hourloom.plans import dashboard, features
+from hourloom.plans import anomaly, dashboard, features, forecast
 from hourloom.schemas import ITEM_COLUMNS, READING_KEY, SERIES, TS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -673,3 +673,81 @@ def baseline_anomaly_features(spark, folder):
     built, columns = features.baseline_anomaly_features(tb.cleaned(spark, folder).select(*SERIES, TS, "clean_value"))
     kept = [c for c in columns if not c.startswith("dev_from")]
     return built.select(*SERIES, TS, *kept)
+
+
+# --- models --------------------------------------------------------------------
+
+
+@query
+def ridge(spark, folder):
+    """Ridge in log space: error of the fitted values per series."""
+    train = fill_hourly(tb.network(spark, folder), SERIES)
+    rows = features.time_columns(train.withColumn("y", F.log1p("clean_value")), features.series_epochs(train))
+    fitted = models.apply_ridge(rows, models.fit_ridge(rows, "y"), "y_pred")
+    return evaluate.forecast_metrics(fitted.withColumnRenamed("y", "y_true"), SERIES)
+
+
+@query
+def ensemble_weights(spark, folder):
+    return calibrate.ensemble_weights(tb.forecasts(spark, folder))
+
+
+@query
+def isolation_forest(spark, folder):
+    """Forest score of every reading on the baseline features, summed up per series."""
+    rows = tb.cleaned(spark, folder).select(*SERIES, TS, "clean_value", "instrument_status")
+    model = anomaly.train_baseline(anomaly.labelled(rows), forest_trees=20)
+    scored = anomaly.predict_baseline(model, anomaly.fill_values(rows))
+    return scored.groupBy(*SERIES).agg(
+        F.count("*").alias("n"), F.sum("predicted_status").alias("anomalies"), F.max("anomaly_score").alias("max_score")
+    )
+
+
+@query
+def gbt_anomaly(spark, folder):
+    """Supervised detection with the last month of each series as validation."""
+    rows = anomaly.labelled(_network_status(spark, folder))
+    marked = windows.month_holdout(rows)
+    train = marked.filter(~F.col("is_validation")).drop("is_validation")
+    held = marked.filter("is_validation").drop("is_validation")
+    model = anomaly.train_anomaly(train, held, trees=5, depth=4, forest_trees=20)
+    judged = anomaly.predict_anomalies(model, held).join(held.select(*SERIES, TS, "label"), [*SERIES, TS])
+    return evaluate.detection_metrics(judged, SERIES, "label", "is_anomaly")
+
+
+def _network_status(spark, folder):
+    """The network series; every 11th shipping unit total marks a faulty hour."""
+    return tb.network(spark, folder).withColumn(
+        "instrument_status", F.when(F.col("clean_value") % 11 == 0, 9).otherwise(0).cast("long")
+    )
+
+
+def _holdout_week(spark, folder):
+    filled = fill_hourly(tb.network(spark, folder), SERIES)
+    return filled.filter(F.col(TS) < ntz(CUT)), filled.filter(F.col(TS) >= ntz(CUT))
+
+
+@query
+def gbt_direct(spark, folder):
+    train, held = _holdout_week(spark, folder)
+    model = forecast.train_direct(train, trees=5, depth=4)
+    judged = forecast.predict_direct(model, train, held.drop("clean_value")).join(held, [*SERIES, TS])
+    return evaluate.forecast_metrics(judged, SERIES, "clean_value", "direct")
+
+
+@query
+def gbt_global(spark, folder):
+    train, held = _holdout_week(spark, folder)
+    place = {"latitude": tb.latitude(), "longitude": tb.longitude()}
+    model, epoch, rows = forecast.train_global(train.withColumns(place), trees=5, depth=4)
+    predicted = forecast.predict_global(model, epoch, rows, held.drop("clean_value").withColumns(place))
+    return evaluate.forecast_metrics(predicted.join(held, [*SERIES, TS]), SERIES, "clean_value", "global")
+
+
+@query
+def forecast_pipeline(spark, folder):
+    """Train, calibrate on the last weeks and predict the hours after the series."""
+    train, held = _holdout_week(spark, folder)
+    around = forecast.Surroundings(_usable(spark, folder), tb.network_stations(spark, folder))
+    model = forecast.train_forecast(train, held, around, trees=5, depth=4)
+    return forecast.predict_forecast(model, held)

@@ -18,6 +18,7 @@ from hourloom.functions.calendar import hour_index, hour_to_ts
 from hourloom.schemas import TS
 
 CHUNK = 8192
+SALTS = 32
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -37,16 +38,19 @@ def chunk_of(index: Column, chunk: int = CHUNK) -> Column:
     return F.floor(index / F.lit(chunk)).cast("long")
 
 
-def attach(df: DataFrame, facts: DataFrame, keys, ts: str = TS, chunk: int = CHUNK) -> DataFrame:
-    """Left join of per-series facts that spreads a long series over its chunks.
+def attach(df: DataFrame, facts: DataFrame, keys, ts: str = TS, salts: int = SALTS) -> DataFrame:
+    """Left join of per-series facts that spreads a long series over many tasks.
 
-    The facts are first laid out per (series, chunk), so the join key of the
-    rows is bounded even when one series holds a large share of them.
+    Rows are salted by their hour and the facts are repeated per salt, so even
+    a series with a large share of all rows splits evenly.
     """
-    keys = list(keys)
-    rows = df.withColumn("_spread", chunk_of(hour_index(F.col(ts)), chunk))
-    cells = rows.select(*keys, "_spread").distinct().join(facts, keys, "inner")
-    return rows.join(cells, [*keys, "_spread"], "left").drop("_spread")
+    copies = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = df.withColumn("_salt", salt_of(ts, salts))
+    return salted.join(copies, [*keys, "_salt"], "left").drop("_salt")
+
+
+def salt_of(ts: str, salts: int = SALTS) -> Column:
+    return F.pmod(F.xxhash64(ts), F.lit(salts)).cast("int")
 
 
 def row_positions(df: DataFrame, keys, ts: str = TS, chunk: int = CHUNK) -> DataFrame:
@@ -104,36 +108,43 @@ def over_chunks(
     return out if keep_chunk else out.drop("_chunk")
 
 
-def last_before_chunk(df: DataFrame, keys, index: str, facts: dict[str, Column], chunk: int = CHUNK) -> DataFrame:
-    """Per (series, chunk): the latest non-NULL value of each fact in earlier chunks."""
-    keys = list(keys)
-    per_chunk = (
-        df.withColumn("_chunk", chunk_of(F.col(index), chunk))
-        .groupBy(*keys, "_chunk")
-        .agg(*[F.max_by(c, F.when(c.isNotNull(), F.col(index))).alias(n) for n, c in facts.items()])
-    )
-    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    return per_chunk.select(*keys, "_chunk", *[F.last(n, True).over(earlier).alias(n) for n in facts])
-
+def chunk_carry(
+    df: DataFrame,
+    keys,
+    index: str,
+    before: dict[str, Column] | None = None,
+    after: dict[str, Column] | None = None,
+    chunk: int = CHUNK,
+) -> DataFrame:
+    """One row per (series, chunk) with facts from the chunks around it.
 
-def first_after_chunk(df: DataFrame, keys, index: str, facts: dict[str, Column], chunk: int = CHUNK) -> DataFrame:
-    """Per (series, chunk): the earliest non-NULL value of each fact in later chunks."""
-    keys = list(keys)
+    ``before``: latest non-NULL value in any earlier chunk; ``after``: earliest
+    non-NULL value in any later chunk.
+    """
+    keys, before, after = list(keys), before or {}, after or {}
     per_chunk = (
         df.withColumn("_chunk", chunk_of(F.col(index), chunk))
         .groupBy(*keys, "_chunk")
-        .agg(*[F.min_by(c, F.when(c.isNotNull(), F.col(index))).alias(n) for n, c in facts.items()])
+        .agg(
+            *[F.max_by(c, F.when(c.isNotNull(), F.col(index))).alias(n) for n, c in before.items()],
+            *[F.min_by(c, F.when(c.isNotNull(), F.col(index))).alias(n) for n, c in after.items()],
+        )
+    )
+    along = Window.partitionBy(*keys).orderBy("_chunk")
+    earlier = along.rowsBetween(Window.unboundedPreceding, -1)
+    later = along.rowsBetween(1, Window.unboundedFollowing)
+    return per_chunk.select(
+        *keys,
+        "_chunk",
+        *[F.last(n, True).over(earlier).alias(n) for n in before],
+        *[F.first(n, True).over(later).alias(n) for n in after],
     )
-    later = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(1, Window.unboundedFollowing)
-    return per_chunk.select(*keys, "_chunk", *[F.first(n, True).over(later).alias(n) for n in facts])
 
 
 def fill_rows(df: DataFrame, keys, value: str, out: str | None = None, index: str = "_pos", chunk: int = CHUNK):
     """Forward fill, then backward fill, along the given row order."""
-    keys = list(keys)
-    back = last_before_chunk(df, keys, index, {"_carry_back": F.col(value)}, chunk)
-    ahead = first_after_chunk(df, keys, index, {"_carry_ahead": F.col(value)}, chunk)
-    carry = back.join(ahead, [*keys, "_chunk"])
+    keys, v = list(keys), F.col(value)
+    carry = chunk_carry(df, keys, index, {"_carry_back": v}, {"_carry_ahead": v}, chunk)
     w = chunk_window(keys, index)
     filled = F.coalesce(
         F.last(value, True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
@@ -218,16 +229,35 @@ def fill_hourly(df: DataFrame, keys, ts: str = TS, value: str = "clean_value", c
 
     The index runs from the first to the last row of the series, rows without
     a value included; a series without any value keeps NULL in every hour.
+    Every row simply repeats until the next one, so no index table is joined.
     """
     keys = list(keys)
-    hour = hour_index(F.col(ts))
-    bounds = df.groupBy(*keys).agg(
-        F.min(hour).alias("_low"), F.max(hour).alias("_high"), F.count(value).alias("_known")
+    rows = df.select(*keys, hour_index(F.col(ts)).alias("_at"), F.col(value).alias("_v")).withColumn(
+        "_chunk", chunk_of(F.col("_at"), chunk)
     )
-    held = hold(df, bounds.filter("_known > 0").drop("_known"), keys, ts, value, chunk).select(
-        *keys, "_hour", F.coalesce("last_value", "next_value").alias(value)
+    known = F.when(F.col("_v").isNotNull(), F.col("_at"))
+    along = Window.partitionBy(*keys).orderBy("_chunk")
+    carry = (
+        rows.groupBy(*keys, "_chunk")
+        .agg(F.min("_at").alias("_open"), F.max_by("_v", known).alias("_final"), F.min_by("_v", known).alias("_initial"))
+        .select(
+            *keys,
+            "_chunk",
+            F.lead("_open").over(along).alias("_then"),
+            F.last("_final", True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_back"),
+            F.first("_initial", True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("_ahead"),
+        )
     )
-    empty = hours_in(bounds.filter("_known = 0"), "_low", "_high", "_hour", chunk).select(
-        *keys, "_hour", F.lit(None).cast(df.schema[value].dataType).alias(value)
+    w = chunk_window(keys, "_at")
+    spans = rows.join(carry, [*keys, "_chunk"]).select(
+        *keys,
+        "_at",
+        F.coalesce(F.lead("_at").over(w) - 1, F.col("_then") - 1, F.col("_at")).alias("_to"),
+        F.coalesce(
+            F.last("_v", True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
+            F.col("_back"),
+            F.first("_v", True).over(w.rowsBetween(0, Window.unboundedFollowing)),
+            F.col("_ahead"),
+        ).alias(value),
     )
-    return held.unionByName(empty).select(*keys, hour_to_ts(F.col("_hour")).alias(ts), value)
+    return hours_in(spans, "_at", "_to", "_hour", chunk).select(*keys, hour_to_ts(F.col("_hour")).alias(ts), value)

@@ -39,7 +39,7 @@ def calendar_profile(
     value: str = "clean_value",
     levels=tuple(LEVELS),
 ) -> DataFrame:
-    """``n_``, ``mean_`` and ``std_`` of each level for every cell.
+    """``n_``, ``mean_`` and ``std_`` of each level and the first hour (``epoch``) for every cell.
 
     Cells that only occur in ``targets`` are included, so that an unseen
     combination still finds the coarser levels; a level without data is NULL.
@@ -52,6 +52,7 @@ def calendar_profile(
             F.count(value).alias("_n"),
             F.avg(value).alias("_mean"),
             (F.var_pop(value) * F.count(value)).alias("_spread"),
+            F.min(ts).alias("_first"),
         )
     )
     if targets is not None:
@@ -59,25 +60,30 @@ def calendar_profile(
         cells = (
             cells.unionByName(wanted, allowMissingColumns=True)
             .groupBy(*keys, *CELL)
-            .agg(F.max("_n").alias("_n"), F.max("_mean").alias("_mean"), F.max("_spread").alias("_spread"))
+            .agg(*[F.max(c).alias(c) for c in ("_n", "_mean", "_spread", "_first")])
         )
     # one exchange on the series serves every level below
     cells = cells.repartition(*keys)
-    for name in levels:
-        w = Window.partitionBy(*keys, *LEVELS[name])
-        cells = cells.withColumn(f"n_{name}", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-        cells = cells.withColumn(
-            f"mean_{name}", F.try_divide(F.sum(F.col("_n") * F.col("_mean")).over(w), F.col(f"n_{name}").cast("double"))
-        )
-        gap = F.col("_mean") - F.col(f"mean_{name}")
-        cells = cells.withColumn(
-            f"std_{name}",
-            F.when(
-                F.col(f"n_{name}") > 1,
-                F.sqrt(F.sum(F.col("_spread") + F.col("_n") * gap * gap).over(w) / (F.col(f"n_{name}") - 1)),
-            ),
-        )
-    return cells.drop("_n", "_mean", "_spread")
+
+    def over(level: str):
+        return Window.partitionBy(*keys, *LEVELS[level])
+
+    sums = {f"n_{m}": F.coalesce(F.sum("_n").over(over(m)), F.lit(0)) for m in levels}
+    sums |= {f"_s_{m}": F.sum(F.col("_n") * F.col("_mean")).over(over(m)) for m in levels}
+    sums["epoch"] = F.min("_first").over(Window.partitionBy(*keys))
+    means = {f"mean_{m}": F.try_divide(F.col(f"_s_{m}"), F.col(f"n_{m}").cast("double")) for m in levels}
+
+    def merged_std(level: str) -> Column:
+        gap = F.col("_mean") - F.col(f"mean_{level}")
+        total = F.sum(F.col("_spread") + F.col("_n") * gap * gap).over(over(level))
+        return F.when(F.col(f"n_{level}") > 1, F.sqrt(total / (F.col(f"n_{level}") - 1)))
+
+    return (
+        cells.withColumns(sums)
+        .withColumns(means)
+        .withColumns({f"std_{m}": merged_std(m) for m in levels})
+        .drop("_n", "_mean", "_spread", "_first", *[f"_s_{m}" for m in levels])
+    )
 
 
 def join_cells(df: DataFrame, facts: DataFrame, keys=SERIES, ts: str = TS) -> DataFrame:
@@ -106,11 +112,14 @@ def target_encodings(
 
     Training rows contribute to their own encoding, as the source method does.
     """
+    encoded = encoding_table(train, targets, keys, ts, value, smoothing)
+    return join_cells(train if targets is None else targets, encoded.drop("epoch"), keys, ts)
+
+
+def encoding_table(train, targets=None, keys=SERIES, ts: str = TS, value: str = "clean_value", smoothing: float = 10.0):
+    """The encodings and the first training hour per (series, month, weekday, hour) cell."""
     profile = calendar_profile(train, targets, keys, ts, value)
-    encoded = profile.select(
-        *keys, *CELL, *[smoothed(level, smoothing).alias(f"enc_{level}") for level in ENCODED]
-    )
-    return join_cells(train if targets is None else targets, encoded, keys, ts)
+    return profile.select(*keys, *CELL, "epoch", *[smoothed(level, smoothing).alias(f"enc_{level}") for level in ENCODED])
 
 
 def hour_statistics(

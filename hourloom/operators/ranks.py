@@ -42,10 +42,10 @@ def running_totals(df: DataFrame, keys, order, sums) -> DataFrame:
 def value_ranks(df: DataFrame, keys, value: str) -> DataFrame:
     """Distinct values with the 0-based rank range [_lo, _hi) they cover and the group size ``_n``."""
     keys = list(keys)
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    ranked = running_totals(counted, keys, [F.col(value)], ["_c"])
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_copies"))
+    ranked = running_totals(counted, keys, [F.col(value)], ["_copies"])
     return ranked.select(
-        *keys, value, (F.col("_c_run") - F.col("_c")).alias("_lo"), F.col("_c_run").alias("_hi"), F.col("_c_all").alias("_n")
+        *keys, value, (F.col("_copies_run") - F.col("_copies")).alias("_lo"), F.col("_copies_run").alias("_hi"), F.col("_copies_all").alias("_n")
     )
 
 

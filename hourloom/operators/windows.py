@@ -13,7 +13,7 @@ from hourloom.functions.scalars import floor_at
 from hourloom.operators.ordered import (
     CHUNK,
     attach,
-    last_before_chunk,
+    chunk_carry,
     over_chunks,
     row_positions,
 )
@@ -132,7 +132,7 @@ def count_identical(marked: DataFrame, keys, chunk: int = CHUNK, out: str = "con
     """
     keys = list(keys)
     change = F.when(~F.col("_same"), F.col("_pos"))
-    carry = last_before_chunk(marked.select(*keys, "_pos", "_same"), keys, "_pos", {"_carry": change}, chunk)
+    carry = chunk_carry(marked.select(*keys, "_pos", "_same"), keys, "_pos", {"_carry": change}, chunk=chunk)
     running = Window.partitionBy(*keys, "_chunk").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
     return (
         marked.withColumn("_change", F.max(change).over(running))

@@ -23,10 +23,11 @@ from hourloom.operators.lookback import ANCHOR_LAGS, anchor_lags
 from hourloom.operators.ordered import attach, over_chunks, row_positions
 from hourloom.operators.profiles import (
     ENCODED,
+    encoding_table,
     group_statistics,
     hour_statistics,
     hourly_deviation,
-    target_encodings,
+    join_cells,
 )
 from hourloom.operators.spatial import fill_on_targets
 from hourloom.operators.windows import (
@@ -77,10 +78,12 @@ def series_epochs(train: DataFrame, keys=SERIES, ts: str = TS) -> DataFrame:
 
 def time_columns(df: DataFrame, epochs: DataFrame, keys=SERIES, ts: str = TS) -> DataFrame:
     """Calendar, cyclical and Fourier columns with each series' own origin."""
+    return _with_time(attach(df, epochs, keys, ts), ts)
+
+
+def _with_time(df: DataFrame, ts: str) -> DataFrame:
     t = F.col(ts)
-    return attach(df, epochs, keys, ts).withColumns(
-        calendar(t) | cyclical(t) | fourier(t, F.col("epoch"))
-    ).drop("epoch")
+    return df.withColumns(calendar(t) | cyclical(t) | fourier(t, F.col("epoch"))).drop("epoch")
 
 
 # --- forecasting -------------------------------------------------------------
@@ -101,8 +104,8 @@ def train_features(filled: DataFrame, keys=SERIES, ts: str = TS, value: str = "c
     # the series is regular, so the hour itself is the row position
     rows = filled.withColumn("_hour", hour_index(F.col(ts)))
     rows = over_chunks(rows, keys, "_hour", look_back, before=max(ANCHOR_LAGS)).drop("_hour")
-    encoded = target_encodings(filled, rows, keys, ts, value)
-    return time_columns(encoded, series_epochs(filled, keys, ts), keys, ts), list(BASE_COLUMNS)
+    encoded = join_cells(rows, encoding_table(filled, None, keys, ts, value), keys, ts)
+    return _with_time(encoded, ts), list(BASE_COLUMNS)
 
 
 def prediction_features(targets: DataFrame, filled: DataFrame, keys=SERIES, ts: str = TS, value: str = "clean_value"):
@@ -113,15 +116,14 @@ def prediction_features(targets: DataFrame, filled: DataFrame, keys=SERIES, ts:
     """
     keys = list(keys)
     rows = anchor_lags(targets, filled, keys, ts, value)
-    rows = target_encodings(filled, rows, keys, ts, value)
+    rows = join_cells(rows, encoding_table(filled, targets, keys, ts, value), keys, ts)
     tails = tail_statistics(filled, keys, ts, value, ROLLING_HOURS).select(
         *keys, *[F.col(f"last_{n}h_{what}").alias(f"rolling_{what}_{n}h") for n in ROLLING_HOURS for what in ("mean", "std")]
     )
     starts = targets.groupBy(*keys).agg(F.min(ts).alias("_start"))
     rows = attach(rows, tails.join(starts, keys, "full"), keys, ts)
     step = F.timestamp_diff("HOUR", F.col("_start"), F.col(ts))
-    rows = rows.withColumn("horizon_step", step).drop("_start")
-    return time_columns(rows, series_epochs(filled, keys, ts), keys, ts), list(BASE_COLUMNS)
+    return _with_time(rows.withColumn("horizon_step", step).drop("_start"), ts), list(BASE_COLUMNS)
 
 
 def cross_column(item: int, what: str) -> str:
