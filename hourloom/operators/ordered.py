@@ -34,6 +34,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def complete_rows(df: DataFrame, columns) -> DataFrame:
+    """Materialised rows without a NULL in the given numeric columns.
+
+    The test becomes a stored flag.  As a filter on dozens of computed columns
+    it would make the optimiser enumerate every substitution of an alias in it.
+    """
+    values = F.array(*[F.col(c).cast("double") for c in columns])
+    flagged = df.withColumn("_complete", F.forall(values, lambda x: x.isNotNull()))
+    return cut(flagged).filter("_complete").drop("_complete")
+
+
 def chunk_of(index: Column, chunk: int = CHUNK) -> Column:
     return F.floor(index / F.lit(chunk)).cast("long")
 

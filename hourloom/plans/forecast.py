@@ -38,7 +38,7 @@ from hourloom.operators.models import (
     residual_quantiles,
     series_quantiles,
 )
-from hourloom.operators.ordered import attach, cut, fill_hourly, hours_in
+from hourloom.operators.ordered import attach, complete_rows, cut, fill_hourly, hours_in
 from hourloom.operators.spatial import (
     nearest_stations,
     spatial_climatology,
@@ -63,12 +63,23 @@ class Surroundings:
     readings: DataFrame | None = None  # usable readings of all stations and pollutants
     stations: DataFrame | None = None  # station_code, latitude, longitude
     weather: DataFrame | None = None
+    neighbours: DataFrame | None = None  # derived from the stations where not given
 
-    def until(self, last) -> Surroundings:
-        """Without readings after the given hour, so that no future value leaks in."""
-        if self.readings is None:
-            return self
-        return replace(self, readings=self.readings.filter(F.col(TS) <= F.lit(last).cast("timestamp_ntz")))
+    def prepared(self, last=None) -> Surroundings:
+        """Inputs materialised once for their many uses, readings up to hour ``last`` only."""
+        readings, neighbours = self.readings, self.neighbours
+        if readings is not None:
+            if last is not None:
+                readings = readings.filter(F.col(TS) <= F.lit(last).cast("timestamp_ntz"))
+            readings = cut(readings)
+        if neighbours is None and self.stations is not None:
+            neighbours = cut(nearest_stations(self.stations))
+        weather = None if self.weather is None else cut(self.weather)
+        return replace(self, readings=readings, neighbours=neighbours, weather=weather)
+
+    @property
+    def spatial(self) -> bool:
+        return self.readings is not None and self.neighbours is not None
 
 
 @dataclass(frozen=True)
@@ -104,37 +115,42 @@ def _zero_nulls(rows: DataFrame, columns) -> DataFrame:
 def _training_table(train: DataFrame, around: Surroundings):
     """Complete rows with every feature; the target is the log of the value."""
     rows, columns = ft.train_features(_log(train))
-    if around.readings is not None and around.stations is not None:
-        near = nearest_stations(around.stations)
-        rows = spatial_features(rows, around.readings, near)
+    hours = train.drop(VALUE)
+    # each group of features is materialised on its own: one plan holding all
+    # of them has far more stages than Spark replans quickly
+    rows = cut(rows)
+    if around.spatial:
+        near = cut(spatial_features(hours, around.readings, around.neighbours))
         # a station with fewer than two neighbours has no spread
-        rows, columns = _zero_nulls(rows, ["spatial_std"]), [*columns, *ft.SPATIAL_COLUMNS]
+        rows = _zero_nulls(rows.join(near, [*SERIES, TS], "left"), ["spatial_std"])
+        columns = [*columns, *ft.SPATIAL_COLUMNS]
     if around.readings is not None:
-        chosen = train.filter(F.col("item_code").isin(*CROSS_ITEMS)).drop(VALUE)
-        crossed = ft.cross_item_features(chosen, around.readings)
+        crossed = cut(ft.cross_item_features(hours.filter(F.col("item_code").isin(*CROSS_ITEMS)), around.readings))
         # hours before the lags reach are dropped by the longer anchor lags anyway
         rows = _zero_nulls(rows.join(crossed, [*SERIES, TS], "left"), ft.CROSS_COLUMNS)
         columns = [*columns, *ft.CROSS_COLUMNS]
     if around.weather is not None and around.stations is not None:
-        rows, columns = weather_features(rows, around.weather, around.stations), [*columns, *WEATHER_COLUMNS]
-    rows = ft.log_cross_columns(rows)
-    return rows.dropna("any", subset=[VALUE, *columns]), columns
+        rows = rows.join(cut(weather_features(hours, around.weather, around.stations)), [*SERIES, TS], "left")
+        columns = [*columns, *WEATHER_COLUMNS]
+    rows = ft.log_cross_columns(rows).select(*SERIES, TS, VALUE, *columns)
+    return complete_rows(rows, [VALUE, *columns]), columns
 
 
 def _prediction_table(targets: DataFrame, train: DataFrame, around: Surroundings, columns, known_weather: bool):
     """Features of future hours; weather is looked up where known, else climatology."""
     rows, _ = ft.prediction_features(targets, _log(train))
-    if around.readings is not None and around.stations is not None:
-        climatology = spatial_climatology(around.readings, nearest_stations(around.stations))
+    rows = cut(rows)
+    if around.spatial:
+        climatology = spatial_climatology(around.readings, around.neighbours)
         rows = spatial_features_for_prediction(rows, climatology)
     if around.readings is not None:
         of_cross = F.col("item_code").isin(*CROSS_ITEMS)
         hours = train.filter(of_cross).drop(VALUE)
         crossed = ft.cross_item_features_for_prediction(targets.filter(of_cross), around.readings, hours)
-        rows = rows.join(crossed.select(*SERIES, TS, *ft.CROSS_COLUMNS), [*SERIES, TS], "left")
+        rows = rows.join(cut(crossed.select(*SERIES, TS, *ft.CROSS_COLUMNS)), [*SERIES, TS], "left")
     if around.weather is not None and around.stations is not None:
         if known_weather:
-            rows = weather_features(rows, around.weather, around.stations)
+            rows = rows.join(cut(weather_features(targets, around.weather, around.stations)), [*SERIES, TS], "left")
         else:
             rows = weather_features_for_prediction(rows, weather_climatology(around.weather, around.stations))
     return ensure_columns(ft.log_cross_columns(rows), columns)
@@ -184,11 +200,9 @@ def train_forecast(
     Readings of other series after the end of training are left out unless
     ``allow_future`` is set, which restores the source method's behaviour.
     """
-    if not allow_future:
-        around = around.until(train.agg(F.max(TS)).first()[0])
     train = cut(train)
+    around = around.prepared(None if allow_future else train.agg(F.max(TS)).first()[0])
     table, columns = _training_table(train, around)
-    table = cut(table.select(*SERIES, TS, VALUE, *columns))
     medians = cut(column_medians(table, _lag_columns(columns)))
 
     checked = None
@@ -197,8 +211,8 @@ def train_forecast(
         checked = _prediction_table(targets, train, around, columns, known_weather=True)
         own = column_medians(checked, _lag_columns(columns))
         checked = fill_medians(checked, own, _lag_columns(columns))
-        checked = checked.join(_log(validation), [*SERIES, TS]).dropna("any", subset=[VALUE, *columns])
-        checked = cut(checked.select(*SERIES, TS, VALUE, *columns))
+        checked = checked.join(_log(validation), [*SERIES, TS]).select(*SERIES, TS, VALUE, *columns)
+        checked = complete_rows(checked, [VALUE, *columns])
 
     boosted = fit_boosted(table, VALUE, columns, checked, trees=trees, depth=depth)
     fitted = cut(apply_boosted(boosted, table, "_p").select(*SERIES, TS, VALUE, "_p"))
@@ -318,7 +332,9 @@ def cross_validate(
 def train_direct(train: DataFrame, trees: int = TREE_COUNT, depth: int = 6):
     """Boosted trees on 17 direct features; the last 10 % of each series stops the boosting."""
     rows, columns = ft.direct_features(train)
-    parted = windows.chronological_split(rows.dropna("any", subset=[VALUE, *columns]))
+    parted = windows.chronological_split(
+        complete_rows(rows.select(*SERIES, TS, VALUE, *columns), [VALUE, *columns])
+    )
     parted = cut(parted.select(*SERIES, TS, VALUE, "is_train", *columns))
     return fit_boosted(
         parted.filter("is_train"), VALUE, columns, parted.filter(~F.col("is_train")), trees=trees, depth=depth, step=0.05

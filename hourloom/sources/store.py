@@ -17,7 +17,7 @@ logger = logging.getLogger(__name__)
 
 _NAME = re.compile(r"(\d+)_(\d+)")
 _FORECAST_TABLES = ("train", "ridge", "medians", "spread", "spread_all", "weights", "correction")
-_SURROUNDINGS = ("readings", "stations", "weather")
+_SURROUNDINGS = ("readings", "stations", "weather", "neighbours")
 _ANOMALY_TABLES = ("forest", "thresholds")
 
 
