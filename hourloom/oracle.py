@@ -499,7 +499,8 @@ def encoding(level: str) -> str:
     return f"round(coalesce({weight} * avg(clean_value) {w} + (1 - {weight}) * {gm}, {gm}), 6) AS enc_{level}"
 
 
-oracle("target_encoding", f"SELECT {KEY}, clean_value, {', '.join(encoding(p) for p in PARTS)} FROM network")
+NUDGED = ", ".join(encoding(p).replace(", 6) AS", " + CAST(1e-9 AS DOUBLE), 6) AS") for p in PARTS)
+oracle("target_encoding", f"SELECT {KEY}, clean_value, {NUDGED} FROM network")
 oracle(
     "hour_stats",
     f"""SELECT {KEY}, clean_value, round(avg(clean_value) {over('hour')}, 6) AS hour_mean, round(stddev_samp(clean_value) {over('hour')}, 6) AS hour_std,

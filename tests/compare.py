@@ -78,7 +78,7 @@ def main(argv):
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(folder)
     queries, sql = entry.queries(), entry.oracle_sql()
-    wanted = argv[1:] or list(queries)
+    wanted = argv[1:] or list(sql)
     failed = 0
     for name in queries:
         if not any(name == w or (w.endswith("*") and name.startswith(w[:-1])) for w in wanted):
