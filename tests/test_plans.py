@@ -19,7 +19,7 @@ def readings(spark):
     hours = pd.date_range("2022-01-01", periods=HOURS, freq="h")
     parts = []
     for station, item in ((204, 2), (205, 2)):
-        v = np.maximum(0.5 + 0.2 * np.sin(2 * np.pi * hours.hour / 24) + rng.normal(0, 0.05, HOURS), 0.01)
+        v = np.maximum(0.5 + 0.2 * np.sin(2 * np.pi * hours.hour.to_numpy() / 24) + rng.normal(0, 0.05, HOURS), 0.01)
         status = np.zeros(HOURS, dtype=int)
         for start in (300, 700, 1000):
             status[start : start + 30], v[start : start + 30] = 9, 5.0 + rng.random(30)
