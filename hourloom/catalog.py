@@ -176,9 +176,8 @@ def _latest(spark, folder):
 
 @query
 def timeseries(spark, folder):
-    wide = tb.wide(spark, folder)
-    stations = [r[0] for r in tb.table(spark, folder, "supplier").select(F.col("s_suppkey") + 204).collect()]
-    return dashboard.time_series(wide, 5, stations, START, END)
+    stations = tb.table(spark, folder, "supplier").select((F.col("s_suppkey") + 204).alias("station_code"))
+    return dashboard.time_series(tb.wide(spark, folder), 5, stations, START, END)
 
 
 @query

@@ -54,9 +54,14 @@ def rank_of(value: Column, order) -> Column:
 
 
 def time_series(wide: DataFrame, item_code: int, stations, start: str, end: str) -> DataFrame:
+    """Rows of the chosen stations: a list of codes (empty keeps nothing) or a table with ``station_code``."""
+    rows = wide.filter(in_range(start, end))
+    if isinstance(stations, DataFrame):
+        rows = rows.join(stations.select("station_code"), "station_code", "left_semi")
+    else:
+        rows = rows.filter(in_list(F.col("station_code"), stations))
     return (
-        wide.filter(in_range(start, end) & in_list(F.col("station_code"), stations))
-        .select(
+        rows.select(
             iso_text(F.col(TS)).alias(TS),
             "station_code",
             F.col(item_column(item_code)).cast("double").alias("value"),
