@@ -161,8 +161,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     characters left.  A null text stays null.
     """
     keyed = docs.withColumns(dict(zip((pieces.K1, pieces.K2), row_key(F.col(id_col), F.col(text_col)))))
-    joined = keyed.join(repeated_bytes(docs, id_col, text_col), [pieces.K1, pieces.K2], "left")
-    joined = joined.select(*docs.columns, F.col("spans").alias("_hl_spans"))
+    found = repeated_bytes(docs, id_col, text_col).withColumnRenamed("spans", "_hl_spans")
+    joined = keyed.join(found, [pieces.K1, pieces.K2], "left").select(*docs.columns, "_hl_spans")
     at = docs.columns.index(text_col)
     size_at = None if size_col is None else docs.columns.index(size_col)
 
