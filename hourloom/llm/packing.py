@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -39,10 +40,7 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.plain = _encode_ranks(path) or _encode_file(path)
         self.memo: dict[str, bytes] = {}
 
     def encode(self, text: str | None) -> bytes:
@@ -61,8 +59,41 @@ class Encoder:
         return b"".join([*self._ids([first]), *[memo[w] for w in rest]])
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        encode = self.tokenizer.encode
-        return [np.array(encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        return [np.array(self.plain(t), "<u4").tobytes() for t in texts]
+
+
+def _encode_file(path: str) -> Callable[[str], list[int]]:
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def _encode_ranks(path: str) -> Callable[[str], list[int]] | None:
+    """The same ids by a rank encoder, about three times as fast, where the file allows it.
+
+    That is a byte-level BPE without normaliser whose merges make tokens in the order of their ids.
+    """
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    usual = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+    if model.get("type") != "BPE" or spec.get("normalizer") or not usual or model.get("ignore_merges"):
+        return None
+    special = {t["content"] for t in spec.get("added_tokens") or ()}
+    vocabulary = {t: i for t, i in model["vocab"].items() if t not in special}
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    made = [vocabulary["".join(p)] for p in pairs]
+    if made != sorted(made) or len(vocabulary) != len(made) + 256:
+        return None
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]  # bytes that stand for themselves
+    byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(sorted({*range(256)} - {*shown}))}
+    ranks = {bytes(byte[c] for c in t): i for t, i in vocabulary.items()}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
 @lru_cache(maxsize=2)
