@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourloom.llm import decontaminate, packing, quality, simhash, suffixes, superkmers
+from hourloom.llm import decontaminate, packing, quality, simhash, suffixes, superkmers, urls, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -47,6 +47,15 @@ def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
+    found = warc.read_archive(warc.write_archive(_table(spark, folder, "pages")))
+    return found.select(F.col("page").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_urls(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judge(_table(spark, folder, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     found = quality.quality_rules(_table(spark, folder, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -58,6 +67,8 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_superkmers": op5_superkmers,
     "op6_decontaminate": op6_decontaminate,
+    "op7_warc": op7_warc,
+    "op8_urls": op8_urls,
     "op9_quality": op9_quality,
 }
 
