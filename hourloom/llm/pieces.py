@@ -115,6 +115,7 @@ def repeated(
     rows = rows.select(*row_key(F.col("_hl_id"), F.col("_hl_text")), "_hl_id", "_hl_text")
     places = stage(occurrences(rows, cutter), "places")
     often = places.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("anchor")
+    often = stage(often, "often")  # so that the join has shuffles of its own, which Spark can split where they are skewed
     places = stage(places.join(often, "anchor", "left_semi"), "repeated-anchors")
     rank = F.struct(F.isnull("_hl_id").alias("none"), F.col("_hl_id").alias("id"))
     sample = F.min(F.struct(rank.alias("rank"), K1, K2, "start", "n", "lead")).alias("s")
@@ -129,7 +130,7 @@ def repeated(
     ranges = found.groupBy("anchor", "digest").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
     kinds = kinds.join(ranges, ["anchor", "digest"], "left").select("anchor", "digest", "copies", F.col("rank").alias("first"), "ranges")
     whole = (rank > F.col("first")) if earlier else (F.col("copies") > 1)
-    kinds = kinds.filter("copies > 1 or ranges is not null")
+    kinds = stage(kinds.filter("copies > 1 or ranges is not null"), "verdicts")
     marked = places.join(kinds, ["anchor", "digest"])
     every = F.array(F.struct(F.lit(0).alias("a"), (F.col("n") - 1).alias("b")))
     marked = marked.select(K1, K2, "start", F.when(whole, every).otherwise(F.col("ranges")).alias("r")).filter("r is not null")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourloom.llm import decontaminate, packing, quality, simhash, suffixes, superkmers, urls, warc
+from hourloom.llm import decontaminate, language, packing, quality, simhash, suffixes, superkmers, toxicity, urls, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -17,6 +17,14 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+def op10_language(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identify(_table(spark, folder, "documents"))
+
+
 def _digest(found: DataFrame, size: str) -> DataFrame:
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["b"] - s["a"])
     return found.select("doc_id", size, removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
@@ -63,6 +71,7 @@ def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_toxicity": op2_toxicity,
     "op3_suffixes": op3_suffixes,
     "op4_packing": op4_packing,
     "op5_superkmers": op5_superkmers,
@@ -70,6 +79,7 @@ QUERIES = {
     "op7_warc": op7_warc,
     "op8_urls": op8_urls,
     "op9_quality": op9_quality,
+    "op10_language": op10_language,
 }
 
 SQL: dict[str, str] = {}
