@@ -17,7 +17,7 @@ WINDOW, STRIDE = 32, 24
 POSITIVE_ROWS, NEGATIVE_ROWS, SAMPLE_BYTES = 2000, 3000, 1 << 15
 UNIT_BYTES = 24
 CHAR_SIZE, WORD_SIZE, HIDDEN = 8, 12, 8
-EPOCHS, BATCH, RATE = 6, 64, 0.01
+EPOCHS, BATCH, RATE = 4, 64, 0.015
 BATCH_BYTES = 1 << 20
 MEMO_WORDS = 150_000
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
