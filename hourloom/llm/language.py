@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hourloom.llm.common import field, id_text, map_batches, slices
+from hourloom.llm.common import field, id_text, map_batches, map_partition, slices
 from hourloom.llm.toxicity import held_out
 
 #: Bounds of the training sample: texts of each language, passages of a text, words of a passage, and languages.
@@ -22,19 +22,23 @@ FEATURE_BITS = 16
 LEXICON_WORDS = 300
 EPOCHS, RATE = 6, 0.3
 CHAIN = 64
+AFFIXES = (1, 2, 3, 4)
+MEMO_WORDS = 200_000
 BATCH_CHARS = 1 << 20
 _LETTER = re.compile(r"[^\W\d_]")
 
 
 def features(word: str, lexicon: dict[str, int]) -> list[int]:
-    """Hashed affixes, letter n-grams and the word, and the languages in whose lexicon it is."""
+    """Hashed affixes, n-grams of UTF-8 bytes and the word, and the language in whose lexicon it is."""
     w = word.lower()[:40]
-    found = [f"w{w}", *[f"p{w[:i]}" for i in range(1, 5)], *[f"s{w[-i:]}" for i in range(1, 5)]]
-    framed = f"<{w}>"
-    found += {f"g{framed[i : i + n]}" for n in (1, 2, 3) for i in range(len(framed) - n + 1)}
+    raw = w.encode("utf-8", "surrogatepass")
+    framed, code, bits = b"<" + raw + b">", zlib.crc32, (1 << FEATURE_BITS) - 1
+    found = [code(raw, 1), *[code(raw[:i], 2) for i in AFFIXES], *[code(raw[-i:], 3) for i in AFFIXES]]
+    found += [code(framed[i : i + 2], 4) for i in range(len(framed) - 1)]
+    found += [code(framed[i : i + 3], 5) for i in range(len(framed) - 2)]
     if w in lexicon:
-        found.append(f"l{lexicon[w]}")
-    return [zlib.crc32(f.encode("utf-8", "surrogatepass")) & ((1 << FEATURE_BITS) - 1) for f in found]
+        found.append(code(b"lexicon", lexicon[w]))
+    return [c & bits for c in found]
 
 
 def words_of(text: str | None) -> list[str]:
@@ -143,14 +147,32 @@ def fit(passages: list[list[str]], labels: list[str], seed: int = 1) -> dict:
     return {"names": names, "weights": weights.astype(np.float32), "transitions": transitions.astype(np.float32), "lexicon": lexicon}
 
 
-def label_texts(texts: list[str | None], model: dict) -> list[tuple[str, float]]:
+class Memo:
+    """Emissions of words seen before, up to a bound."""
+
+    def __init__(self, model: dict):
+        self.model, self.place, self.rows = model, {}, None
+
+    def table(self, words: list[str]) -> np.ndarray:
+        """A row of emissions per word."""
+        if self.rows is None or len(self.place) > MEMO_WORDS:
+            self.place, self.rows = {}, np.zeros((0, len(self.model["names"])), np.float32)
+        new = [w for w in words if w not in self.place]
+        made = [_emissions(new[a : a + 8192], self.model["weights"], self.model["lexicon"]) for a in range(0, len(new), 8192)]
+        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
+        self.rows = np.concatenate([self.rows, *made]).astype(np.float32)
+        return self.rows[[self.place[w] for w in words]]
+
+
+def label_texts(texts: list[str | None], model: dict, memo: Memo | None = None) -> list[tuple[str, float]]:
     """The language with the largest mean probability over the words of each text, and that mean."""
+    memo = memo or Memo(model)
     names, split = model["names"], [words_of(t) for t in texts]
     words = [w for own in split for w in own]
     if not words or not names:
         return [("und", 0.0)] * len(texts)
     codes, distinct = pd.factorize(np.array([*words, None], object)[:-1])
-    emissions = np.concatenate([_emissions(list(distinct[a : a + 8192]), model["weights"], model["lexicon"]) for a in range(0, len(distinct), 8192)])
+    emissions = memo.table(list(distinct))
     sizes = np.array([len(s) for s in split])
     firsts = np.concatenate(([0], np.cumsum(sizes)))
     starts = np.array([s for a, n in zip(firsts.tolist(), sizes.tolist()) for s in range(a, a + n, CHAIN)])
@@ -208,10 +230,12 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     rows = id_text(docs, id_col, text_col)
     schema = T.StructType([field(rows, "_hl_id", id_col), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
-    def run(batch: dict) -> Iterator[dict]:
-        texts = batch["_hl_text"]
-        for a, b in slices([t or "" for t in texts], BATCH_CHARS):
-            found = label_texts(texts[a:b], model)
-            yield {id_col: batch["_hl_id"][a:b], "lang_pred": [f[0] for f in found], "score": [f[1] for f in found]}
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        memo = Memo(model)
+        for batch in batches:
+            texts = batch["_hl_text"]
+            for a, b in slices([t or "" for t in texts], BATCH_CHARS):
+                found = label_texts(texts[a:b], model, memo)
+                yield {id_col: batch["_hl_id"][a:b], "lang_pred": [f[0] for f in found], "score": [f[1] for f in found]}
 
-    return map_batches(rows, run, schema).select(id_col, held_out(F.col(id_col), 3, 1).alias("held_out"), "lang_pred", "score")
+    return map_partition(rows, run, schema).select(id_col, held_out(F.col(id_col), 3, 1).alias("held_out"), "lang_pred", "score")
