@@ -17,7 +17,7 @@ WINDOW, STRIDE = 32, 24
 POSITIVE_ROWS, NEGATIVE_ROWS, SAMPLE_BYTES = 2000, 3000, 1 << 15
 UNIT_BYTES = 24
 CHAR_SIZE, WORD_SIZE, HIDDEN = 8, 12, 8
-EPOCHS, BATCH, RATE = 4, 64, 0.015
+EPOCHS, LEAST_STEPS, BATCH, RATE = 4, 240, 64, 0.015
 BATCH_BYTES = 1 << 20
 MEMO_WORDS = 150_000
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
@@ -240,14 +240,15 @@ def fit(texts: list[bytes], labels: list[int], seed: int = 1) -> dict:
     p = _parameters(len(vocabulary), seed)
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
     model = {"p": p, "vocabulary": vocabulary, "scale": 1.0, "shift": 0.0, "prior": prior}
-    t = 0
-    for epoch in range(EPOCHS):
+    per_epoch = sum(1 if y[i] else min(2, len(window_starts(len(split[i])))) for i in learn) / BATCH
+    epochs, t = max(EPOCHS, int(LEAST_STEPS / per_epoch) + 1), 0
+    for epoch in range(epochs):
         windows, targets, scorer = [], [], Scorer(model)
         for i in learn:
             own = [split[i][s : s + WINDOW] for s in window_starts(len(split[i])) if split[i]]
             if not own:
                 continue
-            if y[i] and epoch < EPOCHS // 2:
+            if y[i] and 2 * epoch < epochs:
                 own.sort(key=lambda w: -max(in_bad[x] >= 2 and telling[x] for x in w if x in telling))
                 windows.append(own[0])
             elif y[i]:
@@ -266,7 +267,7 @@ def fit(texts: list[bytes], labels: list[int], seed: int = 1) -> dict:
                 m, s = moment[k]
                 m += 0.1 * (v - m)
                 s += 0.001 * (v * v - s)
-                p[k] -= (RATE / (1 + epoch) * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
+                p[k] -= (RATE / (1 + EPOCHS * epoch / epochs) * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
     check = np.flatnonzero(apart) if apart.any() else learn
     odds = Scorer(model).odds([texts[i] for i in check])
     model["scale"], model["shift"] = _calibrated(odds, y[check])
