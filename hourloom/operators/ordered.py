@@ -187,11 +187,7 @@ def hold(df: DataFrame, bounds: DataFrame, keys, ts: str = TS, value: str = "val
     ``next_hour``, ``next_value`` (reading after it).
     """
     keys = list(keys)
-    obs = (
-        df.filter(F.col(value).isNotNull())
-        .select(*keys, hour_index(F.col(ts)).alias("_at"), F.col(value).alias("_v"))
-        .withColumn("_bucket", chunk_of(F.col("_at"), chunk))
-    )
+    obs = _hourly(df.filter(F.col(value).isNotNull()), keys, ts, value, "_bucket", chunk)
     along = Window.partitionBy(*keys).orderBy("_bucket")
     buckets = (
         obs.groupBy(*keys, "_bucket")
@@ -235,17 +231,23 @@ def hold(df: DataFrame, bounds: DataFrame, keys, ts: str = TS, value: str = "val
     )
 
 
+def _hourly(df: DataFrame, keys, ts: str, value: str, bucket: str, chunk: int) -> DataFrame:
+    """One row per series and hour with the mean of its readings; dealt by (series, chunk) as the windows need it."""
+    rows = df.select(*keys, hour_index(F.col(ts)).alias("_at"), F.col(value).alias("_v"))
+    rows = rows.withColumn(bucket, chunk_of(F.col("_at"), chunk)).repartition(*keys, bucket)
+    return rows.groupBy(*keys, bucket, "_at").agg(F.avg("_v").alias("_v"))
+
+
 def fill_hourly(df: DataFrame, keys, ts: str = TS, value: str = "clean_value", chunk: int = CHUNK) -> DataFrame:
     """Regular hourly index per series, forward then backward filled.
 
     The index runs from the first to the last row of the series, rows without
     a value included; a series without any value keeps NULL in every hour.
+    Several readings within one hour count as one, their mean.
     Every row simply repeats until the next one, so no index table is joined.
     """
     keys = list(keys)
-    rows = df.select(*keys, hour_index(F.col(ts)).alias("_at"), F.col(value).alias("_v")).withColumn(
-        "_chunk", chunk_of(F.col("_at"), chunk)
-    )
+    rows = _hourly(df, keys, ts, value, "_chunk", chunk)
     known = F.when(F.col("_v").isNotNull(), F.col("_at"))
     along = Window.partitionBy(*keys).orderBy("_chunk")
     carry = (

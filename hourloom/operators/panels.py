@@ -56,15 +56,15 @@ def station_statistics(values: DataFrame, value: str = "value", exact: bool = Tr
     return values.groupBy("station_code").agg(*base).join(points, "station_code", "left")
 
 
-def axis_cap(values: DataFrame, value: str = "value") -> DataFrame:
+def axis_cap(values: DataFrame, value: str = "value", least: int = 0) -> DataFrame:
     """1.2 times the 99 % order statistic of the positive values, rounded up.
 
-    NULL unless there are more than 20 positive values.
+    NULL without a positive value, or with ``least`` or fewer of them.
     """
     positive = values.filter(F.col(value) > 0).withColumn("_all", F.lit(0))
     ranked = value_ranks(positive, ["_all"], value)
     rank = F.floor(F.col("_n") * F.lit(0.99))
-    picked = F.max(F.when((F.col("_lo") <= rank) & (rank < F.col("_hi")) & (F.col("_n") > 20), F.col(value)))
+    picked = F.max(F.when((F.col("_lo") <= rank) & (rank < F.col("_hi")) & (F.col("_n") > least), F.col(value)))
     return ranked.agg(F.ceil(picked * F.lit(1.2)).cast("long").alias("axis_cap"))
 
 

@@ -96,10 +96,10 @@ SELECT station_code, item_code, measurement_datetime, coalesce(
   first_value(clean_value IGNORE NULLS) OVER (PARTITION BY station_code, item_code ORDER BY measurement_datetime ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS clean_value
 FROM spine LEFT JOIN network USING (station_code, item_code, measurement_datetime)"""
 BASE["scored"] = f"""
-SELECT measurement_datetime, station_code, {ITEMS.format('station_code')} AS item_code, CAST(round(value * 100) AS BIGINT) / CAST(65536 AS DOUBLE) AS score,
-  CAST(event_type = 'error' AS INTEGER) AS label, CAST(value > 30 AS INTEGER) AS flag FROM (
-  SELECT date_trunc('hour', ts)::TIMESTAMP AS measurement_datetime, user_id + 204 AS station_code, event_type, value
-  FROM events QUALIFY row_number() OVER (PARTITION BY date_trunc('hour', ts), user_id ORDER BY event_id) = 1)"""
+SELECT measurement_datetime, station_code, {ITEMS.format('station_code')} AS item_code, cents / CAST(65536 AS DOUBLE) AS score, label, flag FROM (
+  SELECT date_trunc('hour', ts)::TIMESTAMP AS measurement_datetime, user_id + 204 AS station_code,
+    CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents, max(CAST(event_type = 'error' AS INTEGER)) AS label,
+    max(CAST(value > 30 AS INTEGER)) AS flag FROM events GROUP BY ALL)"""
 BASE["forecasts"] = f"""
 SELECT l_suppkey + 204 AS station_code, {ITEMS.format('l_linenumber')} AS item_code, {HOUR.format('l_shipdate')} AS measurement_datetime,
   CAST(l_orderkey % 3 AS INTEGER) AS fold, l_quantity - 1 AS y_true,
@@ -111,7 +111,7 @@ BASE["weather"] = (
   CAST([127.0, 126.9, 127.1][p + 1] AS DOUBLE) AS point_lon, """
     + ", ".join(f"CASE WHEN (c + {i}) % 11 <> 0 THEN (c % {1000 + 7 * i}) / CAST(10 AS DOUBLE) END AS {v}" for i, v in enumerate(WEATHER))
     + f""" FROM (SELECT {HOUR.format('o_orderdate')} AS time, CAST(o_custkey % 3 AS INTEGER) AS p,
-  min(CAST(round(o_totalprice * 100) AS BIGINT)) AS c FROM orders GROUP BY ALL)"""
+  CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS c FROM orders GROUP BY ALL)"""
 )
 BASE["predictions"] = f"""
 SELECT measurement_datetime, station_code, item_code, {NAME_CASE} AS item_name, raw AS predicted_value,
@@ -288,7 +288,7 @@ FROM ({SERIES_ROWS})""",
 oracle(
     "axis_cap",
     f"""SELECT CAST(ceil(value * 1.2) AS BIGINT) AS axis_cap FROM (SELECT value, row_number() OVER (ORDER BY value) AS rn, count(*) OVER () AS n
-FROM ({SERIES_ROWS}) WHERE value > 0) WHERE rn = CAST(floor(n * 0.99) AS BIGINT) + 1 AND n > 20""",
+FROM ({SERIES_ROWS}) WHERE value > 0) WHERE rn = CAST(floor(n * 0.99) AS BIGINT) + 1""",
 )
 oracle(
     "histogram",

@@ -43,6 +43,15 @@ def in_range(start: str, end: str) -> Column:
     return F.col(TS).between(ntz(start), ntz(end))
 
 
+def between(rows: DataFrame, start: str, end: str) -> DataFrame:
+    """Rows of a closed time range; on a table stored by year and month only the months concerned are read."""
+    if {"year", "month"} <= set(rows.columns):
+        month = F.col("year") * 12 + F.col("month")
+        first, last = (int(t[:4]) * 12 + int(t[5:7]) for t in (start, end))
+        rows = rows.filter(month.between(first, last))
+    return rows.filter(in_range(start, end))
+
+
 def rank_of(value: Column, order) -> Column:
     out = None
     for i, name in enumerate(order):
@@ -55,7 +64,7 @@ def rank_of(value: Column, order) -> Column:
 
 def time_series(wide: DataFrame, item_code: int, stations, start: str, end: str) -> DataFrame:
     """Rows of the chosen stations: a list of codes (empty keeps nothing) or a table with ``station_code``."""
-    rows = wide.filter(in_range(start, end))
+    rows = between(wide, start, end)
     if isinstance(stations, DataFrame):
         rows = rows.join(stations.select("station_code"), "station_code", "left_semi")
     else:
@@ -83,7 +92,7 @@ def stations_latest(wide: DataFrame, item_code: int, start: str, end: str) -> Da
     )
     # one pass: per (station, status) partial sums serve both the mean and the mode
     by_status = (
-        wide.filter(in_range(start, end))
+        between(wide, start, end)
         .groupBy("station_code", "instrument_status")
         .agg(F.count("*").alias("_rows"), F.sum(value).alias("_sum"), F.count(value).alias("_n"))
     )
@@ -114,7 +123,7 @@ def stations_latest(wide: DataFrame, item_code: int, start: str, end: str) -> Da
 def missing_by_pollutant(wide: DataFrame, start: str, end: str) -> DataFrame:
     """Share of NULL per pollutant from one scan and one aggregate row."""
     labels = {ITEM_COLUMNS[c]: ITEM_LABELS[c] for c in (0, 2, 5, 4, 7, 8)}
-    shares = wide.filter(in_range(start, end)).agg(
+    shares = between(wide, start, end).agg(
         *[percent(F.count_if(F.col(c).isNull()), F.count("*")).alias(label) for c, label in labels.items()]
     )
     return shares.unpivot([], [F.col(f"`{name}`") for name in labels.values()], "pollutant", "missing_pct")
@@ -123,7 +132,7 @@ def missing_by_pollutant(wide: DataFrame, start: str, end: str) -> DataFrame:
 def status_availability(wide: DataFrame, start: str, end: str) -> DataFrame:
     """Share of rows that have a status, whatever its code."""
     return (
-        wide.filter(in_range(start, end))
+        between(wide, start, end)
         .groupBy("station_code")
         .agg(percent(F.count("instrument_status"), F.count("*")).alias("availability_pct"))
         .orderBy("availability_pct", "station_code")
@@ -133,7 +142,7 @@ def status_availability(wide: DataFrame, start: str, end: str) -> DataFrame:
 def monthly_quality(wide: DataFrame, start: str, end: str) -> DataFrame:
     """Status share and valid share per month; validity looks at SO2 only."""
     return (
-        wide.filter(in_range(start, end))
+        between(wide, start, end)
         .groupBy(year_month(F.col(TS)).alias("month"))
         .agg(
             percent(F.count("instrument_status"), F.count("*")).alias("status_pct"),
@@ -144,7 +153,7 @@ def monthly_quality(wide: DataFrame, start: str, end: str) -> DataFrame:
 
 
 def station_stats(wide: DataFrame, item_code: int, start: str, end: str, exact: bool = True) -> DataFrame:
-    values = wide.filter(in_range(start, end)).select(
+    values = between(wide, start, end).select(
         "station_code", F.col(item_column(item_code)).cast("double").alias("value")
     )
     return station_statistics(values, exact=exact).orderBy("station_code")

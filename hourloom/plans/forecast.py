@@ -36,7 +36,9 @@ from hourloom.operators.models import (
     fit_boosted,
     fit_ridge,
     residual_quantiles,
+    scaling,
     series_quantiles,
+    standardise,
 )
 from hourloom.operators.ordered import attach, complete_rows, cut, fill_hourly, hours_in
 from hourloom.operators.spatial import (
@@ -49,7 +51,7 @@ from hourloom.operators.spatial import (
     weather_features_for_prediction,
 )
 from hourloom.plans import features as ft
-from hourloom.schemas import MAX_FORECAST_HOURS, SERIES, TS, WEATHER_VARIABLES
+from hourloom.schemas import SERIES, TS, WEATHER_VARIABLES
 
 VALUE = "clean_value"
 CROSS_ITEMS = (2,)  # pollutants that use the other pollutants of their station
@@ -89,6 +91,7 @@ class ForecastModel:
     train: DataFrame  # gap-filled series on the original scale
     ridge: DataFrame
     medians: DataFrame
+    scales: DataFrame
     spread: DataFrame  # residual quantiles per series and hour of day
     spread_all: DataFrame
     weights: DataFrame
@@ -163,7 +166,7 @@ def _lag_columns(columns) -> list[str]:
 
 def _components(rows: DataFrame, model: ForecastModel, targets: DataFrame) -> DataFrame:
     """Point models on the original scale and raw quantiles."""
-    scored = apply_boosted(model.boosted, rows, "_lgbm_log")
+    scored = _unscaled(apply_boosted(model.boosted, rows, "_lgbm_log"), model.scales, "_lgbm_log")
     scored = apply_ridge(scored, model.ridge, "_ridge_log")
     scored = scored.withColumn("_hour", F.hour(TS)).join(model.spread, [*SERIES, "_hour"], "left")
     scored = attach(scored, model.spread_all, SERIES)
@@ -214,8 +217,10 @@ def train_forecast(
         checked = checked.join(_log(validation), [*SERIES, TS]).select(*SERIES, TS, VALUE, *columns)
         checked = complete_rows(checked, [VALUE, *columns])
 
-    boosted = fit_boosted(table, VALUE, columns, checked, trees=trees, depth=depth)
-    fitted = cut(apply_boosted(boosted, table, "_p").select(*SERIES, TS, VALUE, "_p"))
+    scales = cut(scaling(table, [VALUE]))  # one model over all series needs targets of one scale
+    judged = None if checked is None else complete_rows(standardise(checked, scales, [VALUE]), [VALUE])
+    boosted = fit_boosted(standardise(table, scales, [VALUE]), VALUE, columns, judged, trees=trees, depth=depth)
+    fitted = cut(_unscaled(apply_boosted(boosted, table, "_p"), scales, "_p").select(*SERIES, TS, VALUE, "_p"))
     ridge_rows = ft.time_columns(_log(train), ft.series_epochs(train))
     flat = train.select(*SERIES).distinct()
     model = ForecastModel(
@@ -224,6 +229,7 @@ def train_forecast(
         train=train,
         ridge=cut(fit_ridge(ridge_rows, VALUE)),
         medians=medians,
+        scales=scales,
         spread=cut(residual_quantiles(fitted, VALUE, "_p")),
         spread_all=cut(series_quantiles(fitted, VALUE, "_p")),
         weights=flat.withColumns({f"w_{m}": F.lit(w) for m, w in DEFAULT_WEIGHTS.items()}),
@@ -268,15 +274,13 @@ def final_forecast(series: DataFrame, around: Surroundings = Surroundings(), **o
 def forecast_requests(model: ForecastModel, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Batch forecast of (station, item, start, end) rows; (predictions, rejects).
 
-    Rejected are unknown series, empty ranges and ranges over about two months.
+    Rejected are unknown series and empty ranges.
     """
     hours = hour_index(F.col("end")) - hour_index(F.col("start")) + 1
     known = model.ridge.select(*SERIES).withColumn("_known", F.lit(True))
     judged = requests.join(known, list(SERIES), "left").withColumn(
         "reason",
-        F.when(F.col("_known").isNull(), "no model for this series")
-        .when(hours <= 0, "invalid date range (0 hours)")
-        .when(hours > MAX_FORECAST_HOURS, "date range too large (max ~2 months)"),
+        F.when(F.col("_known").isNull(), "series not trained").when(hours <= 0, "range holds no hour"),
     )
     rejects = judged.filter(F.col("reason").isNotNull()).drop("_known")
     spans = judged.filter(F.col("reason").isNull()).select(
@@ -329,6 +333,13 @@ def cross_validate(
 # --- single-model variants -----------------------------------------------------
 
 
+def _unscaled(rows: DataFrame, scales: DataFrame, column: str) -> DataFrame:
+    """Predictions of the standardised target back on the scale of their series."""
+    mean, std = f"{VALUE}__mean", f"{VALUE}__std"
+    joined = attach(rows, scales, SERIES)
+    return joined.withColumn(column, F.col(column) * F.col(std) + F.col(mean)).drop(mean, std)
+
+
 def train_direct(train: DataFrame, trees: int = TREE_COUNT, depth: int = 6):
     """Boosted trees on 17 direct features; the last 10 % of each series stops the boosting."""
     rows, columns = ft.direct_features(train)
@@ -348,20 +359,14 @@ def predict_direct(model: PipelineModel, train: DataFrame, targets: DataFrame) -
 
 
 def train_global(
-    readings: DataFrame, max_rows: int | None = None, trees: int = TREE_COUNT, depth: int = 10, by_time: bool = False
+    readings: DataFrame, trees: int = TREE_COUNT, depth: int = 10, by_time: bool = False
 ):
     """One model over all series: (model, common origin, training rows).
 
-    ``max_rows`` keeps the latest rows of each series.  The evaluation tenth is
-    cut in (station, item, time) order, or per series by time with ``by_time``.
+    The evaluation tenth is cut in (station, item, time) order, or per series by
+    time with ``by_time``.
     """
-    rows = readings.filter(F.col(VALUE).isNotNull())
-    if max_rows:
-        counts = rows.agg(F.count("*").alias("n")).first()["n"]
-        if counts > max_rows:
-            series = rows.select(*SERIES).distinct().count()
-            rows = windows.last_rows(rows, max_rows // series)
-    rows = cut(rows)
+    rows = cut(readings.filter(F.col(VALUE).isNotNull()))
     epoch = rows.agg(F.min(TS)).first()[0]
     table, columns = ft.global_features(rows, None, F.lit(epoch).cast("timestamp_ntz"))
     table = _zero_nulls(table.withColumn("_y", F.log1p(VALUE)), columns)

@@ -74,7 +74,7 @@ def to_long(measurements: DataFrame) -> DataFrame:
 def with_status(long: DataFrame, instruments: DataFrame, pollutants: DataFrame) -> DataFrame:
     """1:1 status join on all three keys; leaving out the item would fan out sixfold."""
     status = instruments.select(*READING_KEY, "instrument_status")
-    names = pollutants.select("item_code", "item_name")
+    names = _per_code(pollutants, "item_name")
     return (
         long.join(status, list(READING_KEY), "left")
         .join(names, "item_code", "left")
@@ -82,9 +82,15 @@ def with_status(long: DataFrame, instruments: DataFrame, pollutants: DataFrame)
     )
 
 
+def _per_code(pollutants: DataFrame, *columns: str) -> DataFrame:
+    """One row for each of the known codes, so a handful at most: safe to send to every executor."""
+    known = pollutants.filter(F.col("item_code").isin(*ITEM_COLUMNS))
+    return F.broadcast(known.groupBy("item_code").agg(*[F.max(c).alias(c) for c in columns]))
+
+
 def clean(joined: DataFrame, pollutants: DataFrame) -> DataFrame:
     """The contract table every analysis reads (18 columns)."""
-    limits = pollutants.select("item_code", "good", "normal", "bad")
+    limits = _per_code(pollutants, "good", "normal", "bad")
     ts, value = F.col(TS), F.col("value")
     return joined.join(limits, "item_code", "left").select(
         TS,
@@ -170,9 +176,11 @@ def materialise(spark: SparkSession, tables: dict[str, DataFrame], root: str) ->
 
 
 def _write(spark: SparkSession, df: DataFrame, path: str, partitions: list[str]) -> DataFrame:
-    columns = df.columns
+    columns = [c for c in df.columns if c not in partitions] + partitions
     if partitions:
         df = df.withColumns({"year": F.year(TS), "month": F.month(TS)})
+        slot = F.pmod(F.xxhash64("station_code"), F.lit(8))  # a month is written by eight tasks, not by all of them
+        df = df.repartition("year", "month", slot)
     writer = df.write.mode("overwrite").option("compression", "zstd")
     (writer.partitionBy(*partitions) if partitions else writer).parquet(path)
     return spark.read.parquet(path).select(*columns)

@@ -151,8 +151,6 @@ WEATHER_ROWS = T.StructType(
     ]
 )
 
-MAX_FORECAST_HOURS = 744 * 2
-MIN_SCORED_READINGS = 3
 
 
 # --- request parameters ------------------------------------------------------

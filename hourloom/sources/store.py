@@ -16,7 +16,7 @@ from hourloom.sources.readers import child_names
 logger = logging.getLogger(__name__)
 
 _NAME = re.compile(r"(\d+)_(\d+)")
-_FORECAST_TABLES = ("train", "ridge", "medians", "spread", "spread_all", "weights", "correction")
+_FORECAST_TABLES = ("train", "ridge", "medians", "scales", "spread", "spread_all", "weights", "correction")
 _SURROUNDINGS = ("readings", "stations", "weather", "neighbours")
 _ANOMALY_TABLES = ("forest", "thresholds")
 

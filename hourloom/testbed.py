@@ -162,20 +162,24 @@ def network_stations(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, folder: str) -> DataFrame:
-    """Scored hours per user: score from the event value, label for errors, flag by score."""
+    """Scored hours per user: score from the sum of the event values, label if one is an error, flag if one is high."""
     events = table(spark, folder, "events")
-    first = events.groupBy(
+    cents = F.round(F.col("value") * 100).cast("long")
+    hours = events.groupBy(
         F.date_trunc("hour", "ts").cast("timestamp_ntz").alias(TS), (F.col("user_id") + 204).alias("station_code")
-    ).agg(F.min("event_id").alias("event_id"))
-    picked = first.join(events.select("event_id", "event_type", "value"), "event_id")
-    return picked.select(
+    ).agg(
+        F.sum(cents).alias("cents"),
+        F.max((F.col("event_type") == "error").cast("int")).alias("label"),
+        F.max((F.col("value") > 30).cast("int")).alias("flag"),
+    )
+    return hours.select(
         TS,
         "station_code",
         F.element_at(F.array(*[F.lit(c) for c in ITEM_COLUMNS]), (F.col("station_code") % 6 + 1).cast("int"))
         .cast("long").alias("item_code"),
-        (F.round(F.col("value") * 100).cast("long") / 65536).alias("score"),
-        (F.col("event_type") == "error").cast("int").alias("label"),
-        (F.col("value") > 30).cast("int").alias("flag"),
+        (F.col("cents") / 65536).alias("score"),
+        "label",
+        "flag",
     )
 
 
@@ -203,7 +207,7 @@ def weather(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders")
     point = (F.col("o_custkey") % 3).cast("int")
     cents = F.round(F.col("o_totalprice") * 100).cast("long")
-    rows = orders.groupBy(_hour_of("o_orderdate").alias("time"), point.alias("_p")).agg(F.min(cents).alias("_c"))
+    rows = orders.groupBy(_hour_of("o_orderdate").alias("time"), point.alias("_p")).agg(F.sum(cents).alias("_c"))
     names, lats, lons = zip(*WEATHER_POINTS)
 
     def pick(values):

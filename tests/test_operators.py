@@ -185,3 +185,19 @@ def test_request_defaults():
     assert dashboard_request({"pollutant": "0"}).item_code == 0
     with pytest.raises(ValueError):
         item_column(3)
+
+
+def test_boosting_goes_on_for_small_targets(spark):
+    rng = np.random.default_rng(3)
+    x = rng.uniform(-2, 2, (2000, 2))
+    y = 0.01 * (np.sin(2 * x[:, 0]) + 0.5 * x[:, 1] ** 2) + rng.normal(0, 0.0005, 2000)
+    pdf = pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "y": y})
+    train, held = spark.createDataFrame(pdf[:1500]), spark.createDataFrame(pdf[1500:])
+    with_part = models.fit_boosted(train, "y", ["a", "b"], held, trees=60, depth=3, step=0.1)
+    assert with_part.stages[-1].getNumTrees > 50
+    got = models.apply_boosted(with_part, held, "p").select(F.avg(F.pow(F.col("y") - F.col("p"), 2))).first()[0]
+    assert got < 0.1 * pdf["y"][1500:].var()
+
+
+def test_ridge_without_rows_is_null():
+    assert models._ridge(np.zeros(20), 2, np.triu_indices(2), 1.0) == (None, None)

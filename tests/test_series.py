@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from hourloom.functions.calendar import hour_index
 from hourloom.operators import ordered, windows
 from hourloom.schemas import SERIES, TS
 
@@ -176,3 +177,13 @@ def test_lookback_keeps_nulls(spark):
     pdf = pd.DataFrame({"station_code": 204, "item_code": 0, TS: pd.date_range("2021-01-01", periods=6, freq="h"), "clean_value": [1.0, np.nan, 3.0, 4.0, 5.0, 6.0]})
     got = windows.lookbacks(upload(spark, pdf), 3).orderBy(TS).collect()
     assert [r["lookback"] for r in got] == [[1.0, None, 3.0], [None, 3.0, 4.0], [3.0, 4.0, 5.0]]
+
+
+def test_several_readings_in_an_hour_count_as_their_mean(spark):
+    rows = [("2023-01-01 08:00:00", 1.0), ("2023-01-01 10:00:00", 2.0), ("2023-01-01 10:30:00", 4.0), ("2023-01-01 12:00:00", 5.0)]
+    df = spark.createDataFrame([(1, t, v) for t, v in rows], "k int, t string, v double").withColumn("t", F.col("t").cast("timestamp_ntz"))
+    filled = ordered.fill_hourly(df, ["k"], "t", "v").orderBy("t").collect()
+    assert [(r.t.hour, r.v) for r in filled] == [(8, 1.0), (9, 1.0), (10, 3.0), (11, 3.0), (12, 5.0)]
+    bounds = spark.createDataFrame([(1,)], "k int").select("k", hour_index(F.lit("2023-01-01 08:00:00").cast("timestamp_ntz")).alias("_low"))
+    held = ordered.hold(df, bounds.withColumn("_high", F.col("_low") + 4), ["k"], "t", "v").orderBy("_hour").collect()
+    assert [r.last_value for r in held] == [1.0, 1.0, 3.0, 3.0, 5.0]
