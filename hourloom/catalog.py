@@ -10,16 +10,17 @@ from pyspark.sql import functions as F
 from hourloom import testbed as tb
 from hourloom.functions import calendar
 from hourloom.functions.calendar import ntz
-from hourloom.functions.scalars import abnormal_with_value, decimals_to_double, round_columns, usable
+from hourloom.functions.scalars import abnormal_with_value, decimals_to_double, in_list, round_columns, usable
 from hourloom.operators import calibrate, evaluate, lookback, models, panels, profiles, quality, spatial, windows
 from hourloom.operators.ordered import attach, fill_hourly
 from hourloom.plans import anomaly, dashboard, features, forecast
-from hourloom.schemas import ITEM_COLUMNS, READING_KEY, SERIES, TS
+from hourloom.schemas import ITEM_COLUMNS, READING_KEY, SERIES, TS, day_range
+from hourloom.sources.readers import series_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-START, END = "2021-02-01T00:00:00", "2021-04-15T23:00:00"
+START, END = day_range("2021-02-01", "2021-04-15")
 
 
 def query(build: Query) -> Query:
@@ -61,6 +62,59 @@ def pivot_wide(spark, folder):
     return decimals_to_double(tb.layers(spark, folder)["dashboard_wide"])
 
 
+# --- series scans --------------------------------------------------------------
+
+SCANNED = [*READING_KEY, "clean_value", "instrument_status"]
+
+
+@query
+def series_scan(spark, folder):
+    rows = series_rows(tb.cleaned(spark, folder), 205, 5, before="2021-04-01T00:00:00", ordered=True)
+    return rows.select(*SCANNED)
+
+
+@query
+def series_every_status(spark, folder):
+    return series_rows(tb.cleaned(spark, folder), 205, 5, statuses=None, ordered=True).select(*SCANNED)
+
+
+@query
+def series_abnormal(spark, folder):
+    """All series, statuses by list."""
+    return series_rows(tb.cleaned(spark, folder), statuses=(4, 8, 9)).select(*SCANNED)
+
+
+@query
+def series_all(spark, folder):
+    rows = series_rows(tb.cleaned(spark, folder), before="2021-04-01T00:00:00", with_value=True)
+    return rows.select(*READING_KEY, "clean_value", "latitude", "longitude")
+
+
+@query
+def stations(spark, folder):
+    return spatial.stations_of(tb.readings(spark, folder))
+
+
+@query
+def one_target(spark, folder):
+    rows = panels.pick_target(tb.predictions(spark, folder), 206, 7)
+    return rows.select(*READING_KEY, "predicted_value")
+
+
+@query
+def named_period(spark, folder):
+    """A named period and a named group of stations."""
+    rows = dashboard.between(tb.cleaned(spark, folder), *dashboard.PERIODS["2021"])
+    chosen = in_list(F.col("station_code"), dashboard.STATION_GROUPS["Central (212–216)"])
+    return rows.filter(chosen).select(*SCANNED)
+
+
+@query
+def fault_labels(spark, folder):
+    rows = anomaly.labelled(tb.cleaned(spark, folder).select(*SERIES, TS, "clean_value", "instrument_status"))
+    return rows.select(*READING_KEY, "label")
+
+
 # --- quality -----------------------------------------------------------------
 
 
@@ -473,6 +527,24 @@ def group_stats(spark, folder):
     return profiles.group_statistics(tb.network(spark, folder)).drop("clean_value")
 
 
+@query
+def hour_stats_later(spark, folder):
+    """Statistics of the training hours on later hours, some in cells that training never saw."""
+    train, targets = _split(spark, folder)
+    return profiles.hour_statistics(train, targets)
+
+
+@query
+def group_stats_later(spark, folder):
+    train, targets = _split(spark, folder)
+    return profiles.group_statistics(train, targets)
+
+
+@query
+def unit_calendar(spark, folder):
+    return tb.network(spark, folder).withColumns(calendar.unit_calendar(F.col(TS))).drop("clean_value")
+
+
 @query
 def cyclical(spark, folder):
     ts = F.col(TS)
@@ -537,8 +609,7 @@ def blend(spark, folder):
     rows = tb.forecasts(spark, folder).withColumns(
         {f"w_{m}": F.lit(w) for m, w in calibrate.DEFAULT_WEIGHTS.items()}
     )
-    total = F.round(F.sum("ensemble"), 4).alias("total")
-    return calibrate.blend(rows).groupBy(*SERIES, "fold").agg(F.count("*").alias("n"), total)
+    return calibrate.blend(rows).select(*SERIES, TS, "fold", "ensemble")
 
 
 @query
@@ -550,9 +621,7 @@ def cqr(spark, folder):
 def cqr_applied(spark, folder):
     rows = tb.forecasts(spark, folder)
     applied = calibrate.calibrated(attach(rows, calibrate.conformal_correction(rows), SERIES))
-    return applied.groupBy(*SERIES).agg(
-        F.count("*").alias("n"), F.round(F.sum("q05"), 4).alias("low"), F.round(F.sum("q95"), 4).alias("high")
-    )
+    return applied.select(*SERIES, TS, "fold", "q05", "q95")
 
 
 def _by_model(spark, folder):
@@ -561,6 +630,18 @@ def _by_model(spark, folder):
     )
 
 
+@query
+def aligned(spark, folder):
+    """Hours that occur in both of two tables of a series."""
+    usable_rows = _usable(spark, folder).withColumnRenamed("clean_value", "reading")
+    return evaluate.align(tb.network(spark, folder), usable_rows, [*SERIES, TS])
+
+
+@query
+def series_std(spark, folder):
+    return evaluate.series_spread(fill_hourly(tb.network(spark, folder), SERIES), SERIES)
+
+
 @query
 def metrics(spark, folder):
     return evaluate.forecast_metrics(_by_model(spark, folder), [*SERIES, "fold", "model"])

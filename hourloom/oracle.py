@@ -591,15 +591,15 @@ LEFT JOIN weather w ON w.point_name = p.point_name AND w.time = b.time) GROUP BY
 # --- calibration and metrics -------------------------------------------------
 
 BLEND = "greatest(0.6::DOUBLE * lgbm + 0.2::DOUBLE * ridge + 0.2::DOUBLE * naive, 0)"
-oracle("blend", f"SELECT station_code, item_code, fold, count(*) AS n, round(sum({BLEND}), 4) AS total FROM forecasts GROUP BY ALL")
+oracle("blend", f"SELECT {KEY}, fold, round({BLEND}, 6) AS ensemble FROM forecasts")
 CQR = """SELECT station_code, item_code, s AS cqr FROM (SELECT station_code, item_code, greatest(q05 - y_true, y_true - q95) AS s,
 row_number() OVER (PARTITION BY station_code, item_code ORDER BY greatest(q05 - y_true, y_true - q95)) - 1 AS rn, count(*) OVER (PARTITION BY station_code, item_code) AS n FROM forecasts)
 WHERE rn = ceil(least(ceil(0.9::DOUBLE * (n + 1)) / n, 1.0::DOUBLE) * (n - 1))"""
 oracle("cqr", f"SELECT station_code, item_code, round(cqr, 6) AS cqr FROM ({CQR})")
 oracle(
     "cqr_applied",
-    f"""SELECT station_code, item_code, count(*) AS n, round(sum(lo), 4) AS low, round(sum(greatest(q95 + cqr, lo)), 4) AS high FROM (
-SELECT f.*, c.cqr, greatest(q05 - cqr, 0) AS lo FROM forecasts f JOIN ({CQR}) c USING (station_code, item_code)) GROUP BY ALL""",
+    f"""SELECT {KEY}, fold, round(lo, 6) AS q05, round(greatest(q95 + cqr, lo), 6) AS q95 FROM (
+SELECT f.*, c.cqr, greatest(q05 - cqr, 0) AS lo FROM forecasts f JOIN ({CQR}) c USING (station_code, item_code))""",
 )
 
 
@@ -824,3 +824,91 @@ oracle(
 CAST(same AS INTEGER) AS same_as_prev, row_number() OVER (PARTITION BY station_code, item_code, island ORDER BY measurement_datetime) - 1 AS consecutive_same, hour(measurement_datetime)::INTEGER AS hour, (isodow(measurement_datetime) - 1)::INTEGER AS day_of_week
 FROM (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER ({SERIES_W}) AS island FROM (SELECT *, coalesce(clean_value = lag(clean_value) OVER ({SERIES_W}), false) AS same FROM cleaned))""",
 )
+
+# --- series scans, labels, alignment -------------------------------------------
+
+SCAN = f"SELECT {KEY}, clean_value, instrument_status FROM cleaned WHERE"
+BEFORE = "measurement_datetime < TIMESTAMP '2021-04-01 00:00:00'"
+oracle("series_scan", f"{SCAN} station_code = 205 AND item_code = 5 AND instrument_status = 0 AND {BEFORE}")
+oracle("series_every_status", f"{SCAN} station_code = 205 AND item_code = 5")
+oracle("series_abnormal", f"{SCAN} instrument_status IN (4, 8, 9)")
+oracle("series_all", f"SELECT {KEY}, clean_value, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude FROM usable WHERE {BEFORE}")
+oracle("stations", "SELECT DISTINCT station_code, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude FROM readings")
+oracle("one_target", f"SELECT {KEY}, predicted_value FROM predictions WHERE station_code = 206 AND item_code = 7")
+oracle("named_period", f"{SCAN} station_code BETWEEN 212 AND 216 AND measurement_datetime BETWEEN TIMESTAMP '2021-01-01 00:00:00' AND TIMESTAMP '2021-12-31 23:00:00'")
+oracle("fault_labels", f"SELECT {KEY}, CAST(instrument_status <> 0 AS INTEGER) AS label FROM cleaned WHERE instrument_status IS NOT NULL")
+oracle("aligned", f"SELECT {KEY}, n.clean_value, u.clean_value AS reading FROM network n JOIN usable u USING (station_code, item_code, measurement_datetime)")
+oracle("series_std", "SELECT station_code, item_code, round(stddev_samp(clean_value), 6) AS overall_std FROM filled GROUP BY ALL")
+oracle(
+    "unit_calendar",
+    f"""SELECT {KEY}, round(hour(measurement_datetime) / 23.0::DOUBLE, 6) AS hour, round((isodow(measurement_datetime) - 1) / 6.0::DOUBLE, 6) AS dow,
+round((month(measurement_datetime) - 1) / 11.0::DOUBLE, 6) AS month, round((dayofyear(measurement_datetime) - 1) / 365.0::DOUBLE, 6) AS day_of_year FROM network""",
+)
+
+# --- training statistics on later hours ------------------------------------------
+
+CELLS = {"everything": [], "hours": ["hour"], "hour_dows": ["hour", "isodow"], "month_hours": ["month", "hour"]}
+
+
+def cells(parts: list[str]) -> str:
+    columns = "".join(f"{p}(measurement_datetime) AS c_{p}, " for p in parts)
+    return f"""SELECT station_code, item_code, {columns}count(clean_value) AS n, avg(clean_value) AS m, stddev_samp(clean_value) AS s,
+quantile_cont(clean_value, 0.5) AS med FROM train_net GROUP BY ALL"""
+
+
+def cell_join(name: str, parts: list[str]) -> str:
+    same = "".join(f" AND {name}.c_{p} = {p}(t.measurement_datetime)" for p in parts)
+    return f"LEFT JOIN {name} ON {name}.station_code = t.station_code AND {name}.item_code = t.item_code{same}"
+
+
+LATER = {"train_net": TRAIN_NET, "targets": TARGETS, **{name: cells(parts) for name, parts in CELLS.items()}}
+LATER_FROM = "FROM targets t " + " ".join(cell_join(name, parts) for name, parts in CELLS.items())
+T_KEY = "t.station_code, t.item_code, t.measurement_datetime"
+oracle(
+    "hour_stats_later",
+    f"""SELECT {T_KEY}, round(hours.m, 6) AS hour_mean, round(hours.s, 6) AS hour_std, round(hours.med, 6) AS hour_median,
+round(CASE WHEN hour_dows.n > 0 THEN hour_dows.m ELSE hours.m END, 6) AS hour_dow_mean,
+round(CASE WHEN hour_dows.n > 0 THEN hour_dows.s ELSE hours.s END, 6) AS hour_dow_std,
+round(coalesce(month_hours.m, hours.m), 6) AS month_hour_mean {LATER_FROM}""",
+    **LATER,
+)
+oracle(
+    "group_stats_later",
+    f"""SELECT {T_KEY}, round(coalesce(hours.m, everything.m, 0), 6) AS enc_hour, round(coalesce(hour_dows.m, everything.m, 0), 6) AS enc_hour_dow,
+round(coalesce(month_hours.m, everything.m, 0), 6) AS enc_month_hour, round(coalesce(everything.m, 0), 6) AS group_mean,
+round(CASE WHEN everything.n > 0 THEN everything.s ELSE 1 END, 6) AS group_std {LATER_FROM}""",
+    **LATER,
+)
+
+# --- ensemble weights: the best of the seven faces of the simplex ------------------
+
+MOMENTS = "SELECT station_code, item_code, " + ", ".join(
+    [f"avg({a} * {b}) AS g{i}{j}" for i, a in enumerate(("lgbm", "ridge", "naive")) for j, b in enumerate(("lgbm", "ridge", "naive")) if j >= i]
+    + [f"avg({a} * y_true) AS c{i}" for i, a in enumerate(("lgbm", "ridge", "naive"))]
+) + " FROM forecasts GROUP BY ALL"
+FACE = "station_code, item_code, g00, g01, g02, g11, g12, g22, c0, c1, c2"
+# the inside of the simplex: differences to the third model leave two unknowns
+INSIDE = """SELECT *, (u * r - v * q) / nullif(p * r - q * q, 0) AS x, (v * p - u * q) / nullif(p * r - q * q, 0) AS y FROM (
+SELECT *, g00 + g22 - 2 * g02 AS p, g01 + g22 - g02 - g12 AS q, g11 + g22 - 2 * g12 AS r, c0 - c2 + g22 - g02 AS u, c1 - c2 + g22 - g12 AS v FROM moments)"""
+
+
+def edge(i: int, j: int) -> str:
+    """Weight of model i on the edge between models i and j (i < j)."""
+    return f"SELECT *, (c{i} - c{j} + g{j}{j} - g{i}{j}) / nullif(g{i}{i} + g{j}{j} - 2 * g{i}{j}, 0) AS x FROM moments"
+
+
+FACES = f"""SELECT {FACE}, 1.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS c FROM moments
+UNION ALL SELECT {FACE}, 0, 1, 0 FROM moments
+UNION ALL SELECT {FACE}, 0, 0, 1 FROM moments
+UNION ALL SELECT {FACE}, x, 1 - x, 0 FROM ({edge(0, 1)})
+UNION ALL SELECT {FACE}, x, 0, 1 - x FROM ({edge(0, 2)})
+UNION ALL SELECT {FACE}, 0, x, 1 - x FROM ({edge(1, 2)})
+UNION ALL SELECT {FACE}, x, y, 1 - x - y FROM ({INSIDE})"""
+oracle(
+    "ensemble_weights",
+    """SELECT station_code, item_code, round(arg_min(a, loss), 6) AS w_lgbm, round(arg_min(b, loss), 6) AS w_ridge, round(arg_min(c, loss), 6) AS w_naive FROM (
+SELECT *, a * a * g00 + b * b * g11 + c * c * g22 + 2 * (a * b * g01 + a * c * g02 + b * c * g12) - 2 * (a * c0 + b * c1 + c * c2) AS loss
+FROM faces WHERE a >= 0 AND b >= 0 AND c >= 0) GROUP BY station_code, item_code""",
+    moments=MOMENTS,
+    faces=FACES,
+)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourloom.functions.calendar import ntz
-from hourloom.functions.scalars import all_of, decimals_to_double, usable
+from hourloom.functions.scalars import all_of, decimals_to_double, in_list
 from hourloom.schemas import (
     ANOMALY_ROWS,
     FORECAST_ROWS,
@@ -88,31 +88,32 @@ def dashboard_wide(spark: SparkSession, location: str, backend: str = "parquet")
     raise ValueError(f"unknown backend: {backend}")
 
 
-def load_series(
-    cleaned: DataFrame, station_code: int, item_code: int, normal_only: bool = True, end_before: str | None = None
+def series_rows(
+    cleaned: DataFrame,
+    station_code: int | None = None,
+    item_code: int | None = None,
+    statuses=(STATUS_NORMAL,),
+    before: str | None = None,
+    with_value: bool = False,
+    ordered: bool = False,
 ) -> DataFrame:
-    """One series in time order; ``end_before`` is exclusive."""
-    conditions = [F.col("station_code") == station_code, F.col("item_code") == item_code]
-    if normal_only:
-        conditions.append(F.col("instrument_status") == STATUS_NORMAL)
-    if end_before:
-        conditions.append(F.col(TS) < ntz(end_before))
-    return decimals_to_double(cleaned.filter(all_of(conditions))).orderBy(TS)
-
-
-def load_full_series(cleaned: DataFrame, station_code: int, item_code: int) -> DataFrame:
-    """One series with every status."""
-    return load_series(cleaned, station_code, item_code, normal_only=False)
-
-
-def load_all_series(cleaned: DataFrame, end_before: str | None = None, ordered: bool = False) -> DataFrame:
-    """Usable readings of every series; sorting is left to the caller unless asked for."""
-    rows = cleaned.filter(usable())
-    if end_before:
-        rows = rows.filter(F.col(TS) < ntz(end_before))
-    rows = decimals_to_double(
-        rows.select(TS, "station_code", "item_code", "clean_value", "latitude", "longitude")
-    )
+    """Readings of one series, station or pollutant, or of all.
+
+    ``statuses=None`` keeps every status, NULL included; an empty list keeps no row.  ``before`` is exclusive.
+    Sorting is left to the caller unless asked for.
+    """
+    conditions = []
+    if station_code is not None:
+        conditions.append(F.col("station_code") == station_code)
+    if item_code is not None:
+        conditions.append(F.col("item_code") == item_code)
+    if statuses is not None:
+        conditions.append(in_list(F.col("instrument_status"), statuses))
+    if with_value:
+        conditions.append(F.col("clean_value").isNotNull())
+    if before:
+        conditions.append(F.col(TS) < ntz(before))
+    rows = decimals_to_double(cleaned.filter(all_of(conditions)))
     return rows.orderBy("station_code", "item_code", TS) if ordered else rows
 
 

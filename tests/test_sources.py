@@ -41,11 +41,12 @@ def test_csv_layers_and_snapshot(spark, tmp_path):
     assert readers.query(spark, "SELECT count(*) AS n FROM dashboard_wide WHERE station_code = :s", {"s": 205}).first()["n"] > 0
 
     cleaned = built["measurements_clean"]
-    series = readers.load_series(cleaned, 205, 5, end_before="2021-02-20T00:00:00")
+    series = readers.series_rows(cleaned, 205, 5, before="2021-02-20T00:00:00", ordered=True)
     bounds = series.agg(F.max(TS).alias("t"), F.max("instrument_status").alias("s")).first()
     assert bounds["t"].isoformat() < "2021-02-20T00:00:00" and bounds["s"] == 0
-    assert readers.load_full_series(cleaned, 205, 5).count() > series.count()
-    assert readers.load_all_series(cleaned).filter("clean_value IS NULL").count() == 0
+    assert readers.series_rows(cleaned, 205, 5, statuses=None).count() > series.count()
+    assert readers.series_rows(cleaned, with_value=True).filter("clean_value IS NULL").count() == 0
+    assert readers.series_rows(cleaned, statuses=()).count() == 0
 
 
 def test_prediction_files(spark, tmp_path):
