@@ -738,7 +738,7 @@ def global_features(spark, folder):
 def anomaly_features(spark, folder):
     rows = tb.network(spark, folder)
     built, columns = features.anomaly_features(rows)
-    kept = [c for c in columns if not c.startswith("zscore") and c != "month"]
+    kept = [c for c in columns if not c.startswith("zscore")]
     return built.select(*SERIES, TS, *kept)
 
 

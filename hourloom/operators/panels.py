@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from hourloom.functions.calendar import hour_index, month_day
 from hourloom.functions.scalars import percent
+from hourloom.operators.ordered import attach
 from hourloom.operators.ranks import quantiles, value_ranks
 from hourloom.schemas import STATUS_NORMAL, TS
 
@@ -120,7 +121,7 @@ def correlations(
     n_blocks = max(1, -(-stations.count() // block))
     member = F.pmod(F.xxhash64("_station"), F.lit(n_blocks)).cast("int")
     own = (
-        present.join(stations, "_station")
+        attach(present, stations, ["_station"], "_hour")
         .withColumn("_v", F.col("_v") - F.col("_shift"))
         .withColumns({"_block": member, "_slab": F.floor(F.col("_hour") / F.lit(slab)).cast("long")})
     )

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hourloom.operators.ordered import attach
 from hourloom.operators.ranks import quantiles
 from hourloom.schemas import SERIES, TS
 
@@ -178,7 +179,7 @@ def hourly_deviation(df: DataFrame, keys=SERIES, ts: str = TS, value: str = "cle
     facts = spreads.join(medians, [*keys, "_h"], "left")
     scale = F.when(F.col("_std").isNotNull(), F.greatest("_std", F.lit(1e-10)))
     return (
-        hours.join(facts, [*keys, "_h"], "left")
+        attach(hours, facts, [*keys, "_h"], ts)
         .withColumn("dev_from_hourly_median", (F.col(value) - F.col("_median")) / scale)
         .drop("_h", "_median", "_std")
     )

@@ -806,7 +806,7 @@ oracle(
     f"CAST(coalesce(clean_value = 0, false) AS INTEGER) AS at_zero, CAST(coalesce(clean_value < 0, false) AS INTEGER) AS at_negative, "
     f"abs(clean_value - (lag(clean_value) OVER ({SERIES_W}) + lead(clean_value) OVER ({SERIES_W})) / 2) AS spike_score, "
     + ", ".join(cyclical_columns()[:4])
-    + f", CAST(isodow(measurement_datetime) >= 6 AS INTEGER) AS is_weekend, {DEV} AS dev_from_hourly_median FROM ("
+    + f", month(measurement_datetime)::INTEGER AS month, CAST(isodow(measurement_datetime) >= 6 AS INTEGER) AS is_weekend, {DEV} AS dev_from_hourly_median FROM ("
     f"SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER ({SERIES_W}) AS island FROM (SELECT *, coalesce(clean_value = lag(clean_value) OVER ({SERIES_W}), false) AS same FROM network))",
 )
 

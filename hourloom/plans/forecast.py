@@ -168,7 +168,7 @@ def _components(rows: DataFrame, model: ForecastModel, targets: DataFrame) -> Da
     """Point models on the original scale and raw quantiles."""
     scored = _unscaled(apply_boosted(model.boosted, rows, "_lgbm_log"), model.scales, "_lgbm_log")
     scored = apply_ridge(scored, model.ridge, "_ridge_log")
-    scored = scored.withColumn("_hour", F.hour(TS)).join(model.spread, [*SERIES, "_hour"], "left")
+    scored = attach(scored.withColumn("_hour", F.hour(TS)), model.spread, [*SERIES, "_hour"])
     scored = attach(scored, model.spread_all, SERIES)
 
     def back(log_value):
