@@ -201,3 +201,7 @@ def test_boosting_goes_on_for_small_targets(spark):
 
 def test_ridge_without_rows_is_null():
     assert models._ridge(np.zeros(20), 2, np.triu_indices(2), 1.0) == (None, None)
+
+
+def test_no_weights_from_infinite_sums():
+    assert calibrate.simplex_minimum(np.full((3, 3), np.inf), np.zeros(3)) is None
