@@ -22,6 +22,7 @@ FEATURE_BITS = 16
 LEXICON_WORDS = 300
 EPOCHS, RATE = 6, 0.3
 CHAIN = 64
+UNIT_CHARS = 40
 AFFIXES = (1, 2, 3, 4)
 MEMO_WORDS = 200_000
 BATCH_CHARS = 1 << 20
@@ -30,7 +31,7 @@ _LETTER = re.compile(r"[^\W\d_]")
 
 def features(word: str, lexicon: dict[str, int]) -> list[int]:
     """Hashed affixes, n-grams of UTF-8 bytes and the word, and the language in whose lexicon it is."""
-    w = word.lower()[:40]
+    w = word.lower()
     raw = w.encode("utf-8", "surrogatepass")
     framed, code, bits = b"<" + raw + b">", zlib.crc32, (1 << FEATURE_BITS) - 1
     found = [code(raw, 1), *[code(raw[:i], 2) for i in AFFIXES], *[code(raw[-i:], 3) for i in AFFIXES]]
@@ -42,8 +43,11 @@ def features(word: str, lexicon: dict[str, int]) -> list[int]:
 
 
 def words_of(text: str | None) -> list[str]:
-    """Words with a letter, parted by ASCII white space."""
-    return [w for w in re.split(r"[ \t-\r]+", text or "") if _LETTER.search(w)]
+    """Words with a letter, parted by ASCII white space; a longer word, as in scripts without spaces, is several units."""
+    words = re.split(r"[ \t-\r]+", text or "")
+    if max(map(len, words)) > UNIT_CHARS:
+        words = [w[i : i + UNIT_CHARS] for w in words for i in range(0, len(w), UNIT_CHARS)]
+    return [w for w in words if _LETTER.search(w)]
 
 
 def _emissions(words: list[str], weights: np.ndarray, lexicon: dict) -> np.ndarray:
@@ -210,7 +214,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             words = words_of(text)
             spread = max(PASSAGE_WORDS, len(words) // PASSAGES)
             for a in range(0, min(len(words), spread * PASSAGES), spread):
-                for column, value in zip(out.values(), (o, lang, [w[:64] for w in words[a : a + PASSAGE_WORDS]])):
+                for column, value in zip(out.values(), (o, lang, words[a : a + PASSAGE_WORDS])):
                     column.append(value)
         yield out
 

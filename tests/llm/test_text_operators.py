@@ -312,6 +312,12 @@ def test_language(spark):
     assert {r.lang_pred for r in language.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_words_without_spaces_are_read_whole():
+    assert language.words_of("ab" * 50 + " 1 " + "7" * 80 + "x") == ["ab" * 20, "ab" * 20, "ab" * 10, "x"]
+    model = language.fit([["kalo", "mita"], ["weisch", "strage"]] * 60, ["aa", "bb"] * 60)
+    assert [x for x, _ in language.label_texts(["kalo" * 10 + "weischstra" * 40, "weischstra" * 4 + "kalomita" * 50], model)] == ["bb", "aa"]
+
+
 def test_marginals_match_enumeration():
     rng = np.random.default_rng(4)
     e, t = rng.normal(size=(1, 4, 3)), rng.normal(size=(3, 3))
