@@ -26,35 +26,57 @@ UNIT_CHARS = 40
 AFFIXES = (1, 2, 3, 4)
 MEMO_WORDS = 200_000
 BATCH_CHARS = 1 << 20
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _LETTER = re.compile(r"[^\W\d_]")
 
 
-def features(word: str, lexicon: dict[str, int]) -> list[int]:
-    """Hashed affixes, n-grams of UTF-8 bytes and the word, and the language in whose lexicon it is."""
-    w = word.lower()
-    raw = w.encode("utf-8", "surrogatepass")
-    framed, code, bits = b"<" + raw + b">", zlib.crc32, (1 << FEATURE_BITS) - 1
-    found = [code(raw, 1), *[code(raw[:i], 2) for i in AFFIXES], *[code(raw[-i:], 3) for i in AFFIXES]]
-    found += [code(framed[i : i + 2], 4) for i in range(len(framed) - 1)]
-    found += [code(framed[i : i + 3], 5) for i in range(len(framed) - 2)]
-    if w in lexicon:
-        found.append(code(b"lexicon", lexicon[w]))
-    return [c & bits for c in found]
+def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features of distinct words, one word after the other, and their number for each word.
+
+    The word, its first and last bytes in UTF-8, the language in whose lexicon it is, and all 2- and 3-grams of bytes;
+    two zero bytes between words stand for the edge of a word in the n-grams.
+    """
+    low = [w.lower() for w in words]
+    raw = [w.encode("utf-8", "surrogatepass") for w in low]
+    text = np.frombuffer(b"\0\0" + b"\0\0".join(raw) + b"\0\0" + bytes(max(AFFIXES)), np.uint8).astype(np.uint64)
+    sizes = np.array([len(r) for r in raw], np.int64)
+    firsts = np.cumsum(sizes + 2) - sizes
+    whole = np.array([zlib.crc32(r) for r in raw], np.uint64)
+    listed = np.array([lexicon.get(w, -1) + 1 for w in low], np.uint64)
+    fixed, head, tail, none = [_code(whole, 1), _code(listed, 2)], np.zeros_like(whole), np.zeros_like(whole), np.uint64(0)
+    for i in range(max(AFFIXES)):
+        head = head << np.uint64(8) | np.where(i < sizes, text[firsts + i], none)
+        tail = tail << np.uint64(8) | np.where(i < sizes, text[firsts + np.maximum(sizes - 1 - i, 0)], none)
+        if i + 1 in AFFIXES:
+            fixed += [_code(head, 10 + i), _code(tail, 20 + i)]
+    total = len(text) - 2 - max(AFFIXES)
+    last, before = text[2 : 2 + total], text[1 : 1 + total]
+    two = before << np.uint64(8) | last
+    counts = len(fixed) + 2 * (sizes + 2)
+    at = np.cumsum(counts) - counts
+    flat = np.empty(int(counts.sum()), np.int64)
+    for i, codes in enumerate(fixed):
+        flat[at + i] = codes
+    place = np.repeat(at + len(fixed) - 2 * (firsts - 2), sizes + 2) + 2 * np.arange(total)
+    flat[place], flat[place + 1] = _code(two, 3), _code(text[:total] << np.uint64(16) | two, 4)
+    return flat, counts
+
+
+def _code(value: np.ndarray, kind: int) -> np.ndarray:
+    return ((value + np.uint64(kind << 40)) * _FACTOR >> np.uint64(64 - FEATURE_BITS)).astype(np.int64)
 
 
 def words_of(text: str | None) -> list[str]:
-    """Words with a letter, parted by ASCII white space; a longer word, as in scripts without spaces, is several units."""
-    words = re.split(r"[ \t-\r]+", text or "")
-    if max(map(len, words)) > UNIT_CHARS:
+    """Words with a letter, parted by white space; a longer word, as in scripts without spaces, is several units."""
+    words = (text or "").split()
+    if max(map(len, words), default=0) > UNIT_CHARS:
         words = [w[i : i + UNIT_CHARS] for w in words for i in range(0, len(w), UNIT_CHARS)]
-    return [w for w in words if _LETTER.search(w)]
+    return [w for w in words if w.isalpha() or _LETTER.search(w)]
 
 
 def _emissions(words: list[str], weights: np.ndarray, lexicon: dict) -> np.ndarray:
-    found = [features(w, lexicon) for w in words]
-    sizes = np.array([len(f) for f in found])
-    flat = np.fromiter((i for f in found for i in f), np.int64, int(sizes.sum()))
-    return np.add.reduceat(weights[flat], np.concatenate(([0], np.cumsum(sizes)[:-1]))) / np.sqrt(sizes)[:, None]
+    flat, sizes = features(words, lexicon)
+    return np.add.reduceat(weights[flat], np.cumsum(sizes) - sizes) / np.sqrt(sizes, dtype=weights.dtype)[:, None]
 
 
 def marginals(emissions: np.ndarray, mask: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,7 +137,8 @@ def fit(passages: list[list[str]], labels: list[str], seed: int = 1) -> dict:
     total = sum(counts, Counter())
     lexicon = {w: j for j, own in enumerate(counts) for w, n in own.most_common(LEXICON_WORDS) if n >= 3 and 2 * n > total[w]}
     distinct = {w: i for i, w in enumerate(sorted({w for p in passages for w in p}))}
-    found = [np.array(features(w, lexicon)) for w in distinct]
+    flat, sizes = features(list(distinct), lexicon) if distinct else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    found = np.split(flat, np.cumsum(sizes)[:-1])
     codes = [np.array([distinct[w] for w in p]) for p in passages]
     gold = [names.index(x) for x in labels]
     weights, transitions = np.zeros((1 << FEATURE_BITS, k)), np.eye(k)
