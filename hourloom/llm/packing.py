@@ -36,16 +36,21 @@ class Encoder:
     """Token ids as little-endian 32-bit bytes, with a bounded memo of words.
 
     The tokenizer always starts a new token at a space between two other characters, so a text without runs of white
-    space around spaces is the sum of its parts between spaces; other texts are encoded whole.
+    space around spaces is the sum of its parts between spaces; other texts are encoded whole.  Texts that may hold an
+    added token (``<|endoftext|>``) go to ``tokenizers`` whole, which gives that token's id.
     """
 
     def __init__(self, path: str):
+        self.path = path
+        self.added = _added(path)
         self.plain = _encode_ranks(path) or _encode_file(path)
         self.memo: dict[str, bytes] = {}
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if self.added and self.added.search(text):
+            return np.array(_encode_file(self.path)(text), "<u4").tobytes()
         if _UNSAFE.search(text):
             return self._ids([text])[0]
         first, *rest = text.split(" ")
@@ -62,11 +67,21 @@ class Encoder:
         return [np.array(self.plain(t), "<u4").tobytes() for t in texts]
 
 
+def _added(path: str) -> re.Pattern | None:
+    """Finds what may be an added token; where a normaliser can bring one about, every text may hold one."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    added = spec.get("added_tokens") or ()
+    if spec.get("normalizer") and any(t.get("normalized") for t in added):
+        return re.compile("")
+    return re.compile("|".join(re.escape(t["content"]) for t in added)) if added else None
+
+
+@lru_cache(maxsize=2)
 def _encode_file(path: str) -> Callable[[str], list[int]]:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
 
 
