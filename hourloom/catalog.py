@@ -778,7 +778,7 @@ def ensemble_weights(spark, folder):
 def isolation_forest(spark, folder):
     """Forest score of every reading on the baseline features, summed up per series."""
     rows = tb.cleaned(spark, folder).select(*SERIES, TS, "clean_value", "instrument_status")
-    model = anomaly.train_baseline(anomaly.labelled(rows), forest_trees=20)
+    model = anomaly.train_baseline(anomaly.labelled(rows))
     scored = anomaly.predict_baseline(model, anomaly.fill_values(rows))
     return scored.groupBy(*SERIES).agg(
         F.count("*").alias("n"), F.sum("predicted_status").alias("anomalies"), F.max("anomaly_score").alias("max_score")
@@ -792,7 +792,7 @@ def gbt_anomaly(spark, folder):
     marked = windows.month_holdout(rows)
     train = marked.filter(~F.col("is_validation")).drop("is_validation")
     held = marked.filter("is_validation").drop("is_validation")
-    model = anomaly.train_anomaly(train, held, trees=5, depth=4, forest_trees=20)
+    model = anomaly.train_anomaly(train, held)
     judged = anomaly.predict_anomalies(model, held).join(held.select(*SERIES, TS, "label"), [*SERIES, TS])
     return evaluate.detection_metrics(judged, SERIES, "label", "is_anomaly")
 
@@ -812,7 +812,7 @@ def _holdout_week(spark, folder):
 @query
 def gbt_direct(spark, folder):
     train, held = _holdout_week(spark, folder)
-    model = forecast.train_direct(train, trees=5, depth=4)
+    model = forecast.train_direct(train)
     judged = forecast.predict_direct(model, train, held.drop("clean_value")).join(held, [*SERIES, TS])
     return evaluate.forecast_metrics(judged, SERIES, "clean_value", "direct")
 
@@ -821,7 +821,7 @@ def gbt_direct(spark, folder):
 def gbt_global(spark, folder):
     train, held = _holdout_week(spark, folder)
     place = {"latitude": tb.latitude(), "longitude": tb.longitude()}
-    model, epoch, rows = forecast.train_global(train.withColumns(place), trees=5, depth=4)
+    model, epoch, rows = forecast.train_global(train.withColumns(place))
     predicted = forecast.predict_global(model, epoch, rows, held.drop("clean_value").withColumns(place))
     return evaluate.forecast_metrics(predicted.join(held, [*SERIES, TS]), SERIES, "clean_value", "global")
 
@@ -831,5 +831,5 @@ def forecast_pipeline(spark, folder):
     """Train, calibrate on the last weeks and predict the hours after the series."""
     train, held = _holdout_week(spark, folder)
     around = forecast.Surroundings(_usable(spark, folder), tb.network_stations(spark, folder))
-    model = forecast.train_forecast(train, held, around, trees=5, depth=4)
+    model = forecast.train_forecast(train, held, around)
     return forecast.predict_forecast(model, held)
