@@ -63,7 +63,7 @@ def ascii_lower(column: Column) -> Column:
 
 def map_batches(df: DataFrame, function: Callable, schema: T.StructType) -> DataFrame:
     """``function`` gets each record batch as a dict of Python lists and yields dicts of lists."""
-    arrow = _arrow_schema(schema)
+    arrow = arrow_schema(schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -75,7 +75,7 @@ def map_batches(df: DataFrame, function: Callable, schema: T.StructType) -> Data
 
 def map_partition(df: DataFrame, function: Callable, schema: T.StructType) -> DataFrame:
     """``function`` gets the iterator of a partition's batches, each a dict of lists, and yields dicts of lists."""
-    arrow = _arrow_schema(schema)
+    arrow = arrow_schema(schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for out in function(batch.to_pydict() for batch in batches):
@@ -84,7 +84,7 @@ def map_partition(df: DataFrame, function: Callable, schema: T.StructType) -> Da
     return df.mapInArrow(run, schema)
 
 
-def _arrow_schema(schema: T.StructType) -> pa.Schema:
+def arrow_schema(schema: T.StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     return to_arrow_schema(schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourloom.llm import decontaminate, language, packing, quality, simhash, suffixes, superkmers, toxicity, urls, warc
+from hourloom.llm import decontaminate, language, merkle, packing, quality, simhash, suffixes, superkmers, toxicity, urls, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -69,6 +69,10 @@ def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op13_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.audit(_table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_toxicity": op2_toxicity,
@@ -80,6 +84,7 @@ QUERIES = {
     "op8_urls": op8_urls,
     "op9_quality": op9_quality,
     "op10_language": op10_language,
+    "op13_merkle": op13_merkle,
 }
 
 SQL: dict[str, str] = {}
