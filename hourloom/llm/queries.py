@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourloom.llm import decontaminate, language, merkle, packing, quality, setsketch, simhash, suffixes, superkmers, toxicity, urls, warc
+from hourloom.llm import alignment, decontaminate, language, merkle, packing, quality, setsketch, simhash, suffixes, superkmers, toxicity, urls, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -69,6 +69,10 @@ def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.align(_table(spark, folder, "documents")).drop("groups")
+
+
 def op12_setsketch(spark: SparkSession, folder: str) -> DataFrame:
     return setsketch.near_copies(_table(spark, folder, "documents"))
 
@@ -88,6 +92,7 @@ QUERIES = {
     "op8_urls": op8_urls,
     "op9_quality": op9_quality,
     "op10_language": op10_language,
+    "op11_alignment": op11_alignment,
     "op12_setsketch": op12_setsketch,
     "op13_merkle": op13_merkle,
 }
