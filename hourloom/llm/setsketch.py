@@ -6,10 +6,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.column import Column
 
 from hourloom.llm.common import K1, K2, id_text, map_batches, row_key, stage, to_bytes
 from hourloom.llm.components import components
@@ -152,18 +151,18 @@ def classes(found: DataFrame, rows: DataFrame, similar: tuple[int, int] = SIMILA
 def linked(buckets: DataFrame, sets: DataFrame, similar: tuple[int, int] = SIMILAR, pairs: DataFrame | None = None) -> DataFrame:
     """``(fp, root)``: components of the links among the members of each bucket, without forming all pairs of a bucket.
 
-    Every member of a bucket is compared with one centre only.  Let d be the number of shingles that one of two sets
-    holds alone; they link if d is at most t times the sum of their sizes, t = (1 - s) / (1 + s).  If x does not link
-    with the centre c, then d(x, c) > t (|x| + |c|), and from the triangle of x, y and c follows that x can link with y
-    only if the two differ from c in common.  More exactly: with A the shingles of y that c lacks and B those of c that
-    y lacks, x and y have a shingle of A in common if |A| >= |B|, and else lack one of B in common.  So what is left of
-    a bucket goes into one bucket for each shingle of A (and of B where that can decide), and only those matter that
-    hold two components and a set that does not link with c.  Shingles of A are rare, as c is the bucket's most central
-    set, so nearly all buckets end here.  Each round leaves out its centres, so the rounds end.
+    Every member of a bucket is compared with one centre only.  Let D(x) be the shingles that only one of x and the centre
+    c holds.  Sets x and y link if at most t (|x| + |y|) shingles are in one of them only, t = (1 - s) / (1 + s); that
+    number is |D(x)| + |D(y)| less twice what D(x) and D(y) share.  If x does not link with c, then |D(x)| is over
+    t (|x| + |c|), and every y that x can still link with shares part of D(x): at least |D(x)| - t (|x| + |y|), and over
+    (|D(y)| + t (|c| - |y|)) / 2.  So what is left of a bucket goes into one bucket for each of the rarest of those
+    differences, as many as must hold a shared one (a prefix filter), and of these only buckets matter that hold two
+    components and a set that does not link with c.  Copies that differ from the centre each in its own way share no
+    rare difference, so nearly all buckets end here.  Each round leaves out its centres, so the rounds end.
     """
     num, den = similar
     t = (den - num) / (den + num)
-    roots = edges = None
+    edges = None
     if pairs is not None:
         seeds = pairs.filter("a != b").select(F.col("a").alias("c"), F.col("b").alias("fp"), F.lit(False).alias("more"))
         edges = stage(compared(seeds, sets, similar).filter("linked").select(F.col("c").alias("a"), F.col("fp").alias("b")), "edges")
@@ -174,17 +173,19 @@ def linked(buckets: DataFrame, sets: DataFrame, similar: tuple[int, int] = SIMIL
         stars = buckets.join(stage(centres, "centres"), "key").filter("fp != c").groupBy("c", "fp").agg(F.max("more").alias("more"))
         met = stage(compared(stars, sets, similar), "compared")
         new = met.filter("linked").select(F.col("c").alias("a"), F.col("fp").alias("b"))
-        known = new if edges is None else new.unionByName(edges)
-        roots = components(known)
+        roots = components(new if edges is None else new.unionByName(edges))
         edges = roots.select(F.col("fp").alias("a"), F.col("root").alias("b"))
         left = met.filter("more").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-        apart = left.groupBy("c").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.size("lacks") - F.size("adds")).alias("slack"))
-        apart = stage(apart.filter("low < high").select("c", "slack"), "apart")
-        left = left.join(apart, "c")
-        d, reach = F.size("adds") + F.size("lacks"), F.col("n") * (1 + den / num) * t
-        lacking = F.when((F.size("lacks") > F.size("adds")) | (~F.col("linked") & (d - reach <= F.col("slack"))), F.col("lacks")).otherwise(F.array().cast("array<bigint>"))
-        split = left.select("c", "fp", "root", "linked", F.explode(F.concat("adds", lacking)).alias("e"))
-        split = stage(split.select(F.xxhash64("c", "e").alias("key"), "fp", "root", "linked"), "split")
+        apart = left.groupBy("c").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("linked").alias("all_linked"))
+        left = left.join(stage(apart.filter("low < high and not all_linked").select("c"), "apart"), "c")
+        d, reach = F.size("differs"), F.col("n") * (1 + den / num) * t
+        shared = F.greatest(F.lit(1), F.ceil(d - reach - 1e-9), F.when(F.col("linked"), F.ceil((d - t * F.col("grown")) / 2 - 1e-9)).otherwise(1))
+        split = left.select("c", "fp", "root", "linked", (d - shared + 1).alias("prefix"), F.explode("differs").alias("e"))
+        split = stage(split.withColumn("key", F.xxhash64("c", "e")).drop("e"), "split")
+        holders = split.groupBy("key").agg(F.count(F.lit(1)).alias("holders"))
+        rarest = Window.partitionBy("c", "fp").orderBy("holders", "key")
+        split = split.join(holders, "key").withColumn("place", F.row_number().over(rarest)).filter("place <= prefix and holders > 1")
+        split = stage(split.select("key", "fp", "root", "linked"), "prefixes")
         held = split.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("linked").alias("all_linked"))
         held = stage(held.filter("low < high and not all_linked").select("key"), "held")
         buckets = stage(split.join(held, "key", "left_semi").select("key", "fp").distinct(), "buckets")
@@ -193,34 +194,32 @@ def linked(buckets: DataFrame, sets: DataFrame, similar: tuple[int, int] = SIMIL
 
 
 def compared(pairs: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """Pairs ``(c, fp, more)`` with ``n`` of fp, ``linked``, and where more members of the bucket wait also ``adds`` and
-    ``lacks``: the shingles that fp has and c has not, and the other way round.
+    """Pairs ``(c, fp, more)`` with ``n`` of fp, ``linked``, ``grown`` (by how much fp is larger than c) and, where more
+    members of the bucket wait, ``differs``: the shingles that only one of both holds.
 
     A pair that nobody else waits for is dropped unseen if the sizes or the registers rule it out.
     """
     num, den = similar
-    light = [F.col(c) for c in ("fp", "n", "registers")]
-    one = sets.select(*light)
+    one = sets.select("fp", "n", "registers")
     two = sets.select(F.col("fp").alias("c"), F.col("n").alias("m"), F.col("registers").alias("other"))
-    judged = _plausible(pairs.join(two, "c").join(one, "fp"), num / den).select("c", "fp", "more", "n", "m")
-    judged = stage(judged, "plausible")
+    judged = stage(_plausible(pairs.join(two, "c").join(one, "fp"), num / den), "plausible")
     full = judged.join(sets.select(F.col("fp").alias("c"), F.col("shingles").alias("_c")), "c")
     full = full.join(sets.select("fp", F.col("shingles").alias("_x")), "fp")
     both = F.size(F.array_intersect("_c", "_x"))
-    none = F.array().cast("array<bigint>")
+    differs = F.concat(F.array_except("_x", "_c"), F.array_except("_c", "_x"))
     return full.select(
         "c",
         "fp",
         "more",
         "n",
         (den * both >= num * (F.col("n") + F.col("m") - both)).alias("linked"),
-        F.when(F.col("more"), F.array_except("_x", "_c")).otherwise(none).alias("adds"),
-        F.when(F.col("more"), F.array_except("_c", "_x")).otherwise(none).alias("lacks"),
+        (F.col("n") - F.col("m")).alias("grown"),
+        F.when(F.col("more"), differs).otherwise(F.array().cast("array<bigint>")).alias("differs"),
     )
 
 
 def _plausible(pairs: DataFrame, bound: float) -> DataFrame:
-    schema = T.StructType([f for f in pairs.schema.fields if f.name not in ("registers", "other")])
+    schema = T.StructType([pairs.schema[c] for c in ("c", "fp", "more", "n", "m")])
 
     def run(batch: dict) -> Iterator[dict]:
         if not batch["fp"]:
