@@ -1,13 +1,14 @@
 """Ranks, space, calibration, metrics, models and quality on small fixtures."""
 
 import math
+from datetime import datetime
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from hourloom.operators import calibrate, evaluate, models, panels, quality, ranks, spatial
+from hourloom.operators import calibrate, evaluate, forest, models, panels, quality, ranks, spatial
 from hourloom.schemas import DashboardRequest, dashboard_request, item_column
 
 
@@ -152,21 +153,89 @@ def test_ridge_matches_closed_form(spark):
     assert abs(fitted["intercept"] - (y.mean() - want @ x.mean(axis=0))) < 1e-9
 
 
-def test_forest_sample_and_scores(spark):
+def forest_rows(spark, n=2000):
     rng = np.random.default_rng(4)
-    n = 2000
     pdf = pd.DataFrame({"k": 1, "t": pd.date_range("2021-01-01", periods=n, freq="h"), "a": rng.normal(size=n), "b": rng.normal(size=n)})
     pdf.loc[:4, ["a", "b"]] = 12.0
-    df = spark.createDataFrame(pdf).withColumn("t", F.col("t").cast("timestamp_ntz")).cache()
-    sample = models.sample_for_trees(df, ["k"], "t", trees=7, size=64)
-    sizes = sample.groupBy("tree").agg(F.count("*").alias("n"), F.count_distinct("t").alias("d")).collect()
-    assert len(sizes) == 7 and all(r["n"] == 64 == r["d"] for r in sizes)
-    forest = models.fit_forest(df, ["a", "b"], ["k"], "t", trees=25, size=64)
-    scored = models.forest_scores(df, forest, ["a", "b"], keys=["k"], ts="t").toPandas().sort_values("t")
-    assert len(scored) == n and scored["iso_score"].between(-0.5, 0.5).all()
+    return spark.createDataFrame(pdf).withColumn("t", F.col("t").cast("timestamp_ntz"))
+
+
+@pytest.mark.parametrize("whole", [4096, 100])
+def test_forest_scores(spark, monkeypatch, whole):
+    monkeypatch.setattr(forest, "WHOLE", whole)  # 100: the rows of each block are gathered by its draws
+    df = forest_rows(spark).cache()
+    rows = forest.gather(df, ["k"], "t", trees=60, size=64).groupBy("_block").agg(F.count("*").alias("n"), F.count_distinct("t").alias("d")).collect()
+    assert [(r["_block"], r["n"]) for r in rows] == [(-1, 2000)] if whole == 4096 else len(rows) == 3 and all(r["n"] == r["d"] < 2000 for r in rows)
+    fitted = forest.fit_forest(df, ["a", "b"], ["k"], "t", trees=60, size=64)
+    assert sorted(r["trees"] for r in fitted.collect()) == ([60] if whole == 4096 else [10, 25, 25])
+    assert {r["sampled"] for r in fitted.collect()} == {64}
+    again = forest.fit_forest(df.repartition(7), ["a", "b"], ["k"], "t", trees=60, size=64)
+    assert sorted(map(tuple, fitted.collect())) == sorted(map(tuple, again.collect()))
+    scored = forest.forest_scores(df, fitted, ["a", "b"], keys=["k"], ts="t", chunk=500).toPandas().sort_values("t")
+    assert len(scored) == 2000 and scored["iso_score"].between(-0.5, 0.5).all()
     assert scored["iso_score"].iloc[:5].min() > scored["iso_score"].iloc[5:].quantile(0.99)
 
 
+def test_draws_do_not_depend_on_how_rows_are_gathered(spark, monkeypatch):
+    df = forest_rows(spark)
+    held = {}
+    for whole in (4096, 100):
+        monkeypatch.setattr(forest, "WHOLE", whole)
+        pdf = forest.gather(df, ["k"], "t", trees=30, size=64).toPandas()
+        factors, offsets = forest._lottery(30, 42)
+        own = [pdf[(pdf["_block"] == -1) | (pdf["_block"] == i // forest.BLOCK)] for i in range(30)]
+        held[whole] = [set(o["t"].iloc[np.argsort((o["_h"].to_numpy() * factors[i] + offsets[i]) % forest.DRAWS)[:64]]) for i, o in enumerate(own)]
+    assert held[4096] == held[100] and len({frozenset(x) for x in held[100]}) == 30
+
+
+def test_trees_follow_their_splits():
+    rng = np.random.default_rng(0)
+    x = np.concatenate([rng.normal(size=(300, 3)), np.ones((20, 3))])  # equal rows end in one leaf
+    drawn = np.array([rng.choice(len(x), 128, replace=False) for _ in range(9)])
+    feature, split, depth = (v.reshape(9, -1) for v in forest.grow(x, drawn, rng, 7))
+
+    def walk(tree, row):
+        node, level = 0, 0
+        while feature[tree, node] >= 0:
+            node, level = 2 * node + 1 + (row[feature[tree, node]] > split[tree, node]), level + 1
+        return node, level
+
+    ends = [[walk(t, x[i])[0] for i in drawn[t]] for t in range(9)]
+    for t in range(9):
+        for node in set(ends[t]):
+            level = int(np.log2(node + 1))
+            assert depth[t, node] == pytest.approx(level + float(forest.path_length(ends[t].count(node))))
+            assert level == 7 or ends[t].count(node) == 1 or len({tuple(x[i]) for i, e in zip(drawn[t], ends[t]) if e == node}) == 1
+    want = [sum(depth[t, walk(t, row)[0]] for t in range(9)) for row in x]
+    np.testing.assert_allclose(forest.total_depth(x, feature, split, depth), want)
+
+
+def test_forest_of_one_row_and_of_constant_rows(spark):
+    rows = [(1, datetime(2021, 1, 1), 1.0)] + [(2, datetime(2021, 1, 1, h), 5.0) for h in range(9)]
+    df = spark.createDataFrame(rows, "k long, t timestamp_ntz, a double")
+    got = forest.forest_scores(df, forest.fit_forest(df, ["a"], ["k"], "t", trees=3), ["a"], keys=["k"], ts="t").collect()
+    assert len(got) == 10 and len({r["iso_score"] for r in got if r["k"] == 2}) == 1
+    other = df.withColumn("k", F.col("k") + 5)
+    assert {r["iso_score"] for r in forest.forest_scores(other, forest.fit_forest(df, ["a"], ["k"], "t", trees=3), ["a"], keys=["k"], ts="t").collect()} == {None}
+
+
+@pytest.mark.parametrize("kind", ["regressor", "classifier"])
+def test_first_trees_equal_a_shorter_fit(spark, kind):
+    rng = np.random.default_rng(8)
+    x = rng.uniform(-2, 2, (600, 2))
+    y = x[:, 0] ** 2 + 0.3 * rng.normal(size=600)
+    pdf = pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "y": y if kind == "regressor" else (y > 1).astype(float)})
+    df = spark.createDataFrame(pdf)
+    fit = models.fit_boosted if kind == "regressor" else models.fit_anomaly_classifier
+    long, short = fit(df, "y", ["a", "b"], trees=12, depth=3), fit(df, "y", ["a", "b"], trees=5, depth=3)
+    stage = models.first_trees(long.stages[-1], 5)
+    assert stage.getNumTrees == 5 and stage.getFeaturesCol() == "_features" and stage.getPredictionCol() == "_prediction"
+    rows = long.stages[0].transform(df)
+    got, want = (m.transform(rows).orderBy("a").select("_prediction", *(["probability"] if kind == "classifier" else [])).collect() for m in (stage, short.stages[-1]))
+    assert got == want
+    assert models.first_trees(long.stages[-1], 12) is long.stages[-1]
+
+
 def test_quality_checks_find_injected_rows(spark):
     df = spark.createDataFrame([(1, "a"), (1, "b"), (2, None), (None, "z")], "k long, c string")
     assert quality.not_null(df, "c").count() == 1
