@@ -5,9 +5,10 @@ from __future__ import annotations
 import json
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +23,13 @@ from hourloom.llm.perfect import PerfectHash
 from hourloom.llm.pieces import mixed
 
 #: Words and linked pairs remembered by a task, and distinct pairs counted by it, before it starts afresh.
-MEMO_WORDS, MEMO_PAIRS, COUNTED_PAIRS = 1 << 17, 1 << 22, 1 << 20
+MEMO_WORDS, MEMO_PAIRS, COUNTED_PAIRS = 1 << 18, 1 << 22, 1 << 20
 #: Words gathered before their pairs are counted, and pairs of ids formed at once.
 SLICE_WORDS, AT_ONCE = 1 << 18, 1 << 20
+#: Words encoded as one text.
+WORDS_AT_ONCE = 1 << 12
+#: Links of one unit beyond which its equal pairs are counted together at once.
+MANY_LINKS = 1 << 16
 #: Parts of the key space; each has a hash function and count vectors of its own.
 SECTORS = 256
 #: Count vectors added in one task, and tasks' counts that enter one vector.
@@ -70,6 +75,23 @@ class Tokenizers:
             same = b"".join([self.a_bytes[i] for i in a]) == whole == b"".join([self.b_bytes[i] for i in b])
             yield (a, b) if same else None
 
+    def encode_words(self, words: list[str]) -> Iterator[tuple[list[int], list[int]] | None]:
+        """The same for words, many at a time: A reads them as one text and is cut where words end."""
+        for at in range(0, len(words), WORDS_AT_ONCE):
+            part = words[at : at + WORDS_AT_ONCE]
+            text = " " + " ".join(part)
+            b, a = self.model.encode(part, num_threads=1), self.plain(text)
+            ends = np.cumsum([len(w.encode()) + 1 for w in part])
+            a_end = np.cumsum([len(self.a_bytes[i]) for i in a])
+            cut = np.searchsorted(a_end, ends)
+            size = [sum([len(self.b_bytes[i]) for i in x]) for x in b]
+            same = a_end[-1] == ends[-1] and (a_end[cut] == ends).all() and (np.cumsum(size) == ends).all()
+            if same and b"".join([self.b_bytes[i] for x in b for i in x]) == text.encode():
+                cuts = [0, *(cut + 1).tolist()]
+                yield from zip([a[i:j] for i, j in zip(cuts, cuts[1:])], b)
+            else:
+                yield from self.encode(part)
+
 
 def _encode_plain(path: str):
     from tokenizers import Tokenizer
@@ -113,8 +135,8 @@ class Aligner:
     is the sum of its words.  Units are numbered from 0; ``reset`` forgets them.
     """
 
-    def __init__(self, a_path: str, b_path: str):
-        self.tokens = _tokenizers(a_path, b_path)
+    def __init__(self, a_path: str, b_path: str, shown: bool = True):
+        self.tokens, self.shown = _tokenizers(a_path, b_path), shown
         self.a_size = np.zeros(max(self.tokens.a_bytes) + 1, np.int64)
         for i, t in self.tokens.a_bytes.items():
             self.a_size[i] = len(t)
@@ -137,31 +159,70 @@ class Aligner:
     def units(self, texts: list[str | None]) -> list[list[int]]:
         """The units of each text; none where it has no tokens."""
         cut = [[] if not t else [t] if not self.tokens.by_word or _UNSAFE.search(t) else t.split(" ") for t in texts]
-        self._learn(list(dict.fromkeys(w for words in cut for w in words if w not in self.numbers)))
+        split = [len(words) != 1 for words in cut]  # a text of one unit may be a whole text that is no word
+        new = {w for words, by_word in zip(cut, split) if by_word for w in words if w not in self.numbers}
+        self._learn(sorted(new), self.tokens.encode_words)
+        self._learn(sorted({words[0] for words in cut if len(words) == 1} - self.numbers.keys()), self.tokens.encode)
         out = [[self.numbers[w] for w in words] for words in cut]
         odd = [i for i, own in enumerate(out) if -1 in own]
-        self._learn(list(dict.fromkeys(texts[i] for i in odd if texts[i] not in self.numbers)))
+        self._learn(sorted({texts[i] for i in odd} - self.numbers.keys()), self.tokens.encode)
         for i in odd:
             number = self.numbers[texts[i]]
             out[i] = [] if number < 0 else [number]
         return out
 
-    def _learn(self, words: list[str]) -> None:
-        for word, both in zip(words, self.tokens.encode(words)):
-            if both is None:
-                self.numbers[word] = -1
-                continue
-            a, b = (np.array(ids, np.int64) for ids in both)
-            a_end, b_end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
-            common = np.intersect1d(a_end, b_end, assume_unique=True)
-            a_group, b_group = np.searchsorted(common, a_end), np.searchsorted(common, b_end)
-            keys, times = pairs_of(a, b, a_group, b_group)
-            self.numbers[word] = len(self.groups)
-            self.groups.append(_shown(both[0], both[1], a_group, b_group, len(common)))
-            self.facts.extend((len(a), len(b), len(common), int(times.sum())))
-            self.pairs.frombytes(keys.tobytes())
-            self.times.frombytes(times.tobytes())
-            self.ends.append(len(self.pairs))
+    def _learn(self, words: list[str], encode: Callable) -> None:
+        """Number new units and keep what is known of them; one pass of array operations for all of them."""
+        both = []
+        for word, ids in zip(words, encode(words)):
+            self.numbers[word] = -1 if ids is None else len(self.groups) + len(both)
+            if ids is not None:
+                both.append(ids)
+        if not both:
+            return
+        n_a, n_b = (np.array([len(x[i]) for x in both], np.int64) for i in (0, 1))
+        a, b = (np.fromiter(chain.from_iterable(x[i] for x in both), np.int64) for i in (0, 1))
+        a_end, b_end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        common = np.intersect1d(a_end, b_end, assume_unique=True)  # every unit's end is among them
+        a_group, b_group = np.searchsorted(common, a_end), np.searchsorted(common, b_end)
+        in_a, in_b = np.bincount(a_group), np.bincount(b_group)
+        last = np.searchsorted(common, a_end[np.cumsum(n_a) - 1])
+        n_groups = np.diff(last, prepend=-1)
+        n_links = np.add.reduceat(in_a * in_b, last - n_groups + 1)
+        self._show(a, b, in_a, in_b, n_groups)
+        self.facts.frombytes(np.stack((n_a, n_b, n_groups, n_links), 1).tobytes())
+        large = np.flatnonzero(n_links > MANY_LINKS)
+        width = in_b[a_group]
+        unit = np.repeat(np.arange(len(both)), n_a)
+        width[np.isin(unit, large)] = 0
+        left = np.repeat(np.arange(len(a)), width)
+        right = np.arange(len(left)) - np.repeat(np.cumsum(width) - width, width) + (np.cumsum(in_b) - in_b)[a_group[left]]
+        keys, times = a[left] << 16 | b[right], np.ones(len(left), np.int64)
+        sizes = np.where(n_links > MANY_LINKS, 0, n_links)
+        for u in large.tolist():  # few: equal ids of a group are counted together
+            own_a, own_b = unit == u, np.repeat(np.arange(len(both)), n_b) == u
+            more = pairs_of(a[own_a], b[own_b], a_group[own_a], b_group[own_b])
+            at = int(sizes[:u].sum())
+            keys, times = (np.concatenate((x[:at], y, x[at:])) for x, y in zip((keys, times), more))
+            sizes[u] = len(more[0])
+        first = len(self.pairs)
+        self.pairs.frombytes(keys.tobytes())
+        self.times.frombytes(times.tobytes())
+        self.ends.frombytes((first + np.cumsum(sizes)).tobytes())
+
+    def _show(self, a: np.ndarray, b: np.ndarray, in_a: np.ndarray, in_b: np.ndarray, n_groups: np.ndarray) -> None:
+        if not self.shown:
+            self.groups += [""] * len(n_groups)
+            return
+        one, two, i, j, parts = list(map(str, a.tolist())), list(map(str, b.tolist())), 0, 0, []
+        for x, y in zip(in_a.tolist(), in_b.tolist()):
+            if x == y == 1:
+                parts.append(f"{one[i]}|{two[j]}")
+            else:
+                parts.append(f"{','.join(one[i : i + x])}|{','.join(two[j : j + y])}")
+            i, j = i + x, j + y
+        ends = np.cumsum(n_groups).tolist()
+        self.groups += [";".join(parts[p:q]) for p, q in zip([0, *ends], ends)]
 
     def pairs_in(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For an array of units: the position there, the pair and its number of links."""
@@ -172,13 +233,6 @@ class Aligner:
         return owner, np.array(self.pairs, np.int64)[at], np.array(self.times, np.int64)[at]
 
 
-def _shown(a: list[int], b: list[int], a_group: np.ndarray, b_group: np.ndarray, n: int) -> str:
-    a_cut = np.searchsorted(a_group, np.arange(n + 1)).tolist()
-    b_cut = np.searchsorted(b_group, np.arange(n + 1)).tolist()
-    one, two = list(map(str, a)), list(map(str, b))
-    return ";".join([f"{','.join(one[a_cut[i] : a_cut[i + 1]])}|{','.join(two[b_cut[i] : b_cut[i + 1]])}" for i in range(n)])
-
-
 def _slices(batches: Iterator[dict], aligner: Aligner) -> Iterator[tuple[list[int], dict, list[list[int]]]]:
     """``(row numbers, batch, units)`` of some rows at a time; the aligner starts afresh when it has grown too large."""
     for batch in batches:
@@ -213,7 +267,7 @@ def partial_counts(rows: DataFrame, a_path: str, b_path: str) -> DataFrame:
     )
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        aligner, part = Aligner(a_path, b_path), TaskContext.get().partitionId() << 24
+        aligner, part = Aligner(a_path, b_path, shown=False), TaskContext.get().partitionId() << 24
         keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
         def written() -> Iterator[dict]:
@@ -410,7 +464,7 @@ def _joined(rows: DataFrame, index: DataFrame, best: DataFrame, a_path: str, b_p
     pairs_schema = T.StructType([*key, T.StructField("pair", T.LongType()), T.StructField("times", T.LongType())])
 
     def pairs(batches: Iterator[dict]) -> Iterator[dict]:
-        aligner = Aligner(a_path, b_path)
+        aligner = Aligner(a_path, b_path, shown=False)
         for numbers, batch, units in _slices(batches, aligner):
             flat = np.array([i for u in units for i in u], np.int64)
             owner, pair, times = aligner.pairs_in(flat)

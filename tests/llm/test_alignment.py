@@ -87,6 +87,25 @@ def test_units_start_afresh(monkeypatch):
     assert found == whole and len(ages) > 5
 
 
+def test_texts_with_many_links(monkeypatch):
+    rows = [t for _, t in texts() if t]
+    aligner = alignment.Aligner(alignment.vocabulary_file(), alignment.piece_file())
+    held = []
+    for many in (1 << 16, 2):
+        monkeypatch.setattr(alignment, "MANY_LINKS", many)
+        aligner.reset()
+        units = aligner.units(rows)
+        found = []
+        for u in units:
+            _, pair, times = aligner.pairs_in(np.array(u, np.int64))
+            total = Counter()
+            for p, n in zip(pair.tolist(), times.tolist()):
+                total[p] += n
+            found.append(total)
+        held.append(found)
+    assert held[0] == held[1] and any(held[0])
+
+
 def test_empty_and_without_tokens(spark):
     for few in ([], [(1, None), (2, "")]):
         docs = spark.createDataFrame(few, "doc_id long, text string")
