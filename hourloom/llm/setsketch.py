@@ -6,9 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.column import Column
 
 from hourloom.llm.common import K1, K2, id_text, map_batches, row_key, stage, to_bytes
 from hourloom.llm.components import components
@@ -23,6 +24,8 @@ REGISTERS = BANDS * BAND_ROWS
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 #: A candidate is not verified if the likeliest similarity is below the bound and e ** 16 times as likely as the bound.
 CERTAIN = 16.0
+#: Sets that share a difference are compared in pairs up to this many; more start a round of their own.
+PAIRED = 32
 SEED = 42
 AT_ONCE = 1 << 10
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 64, (REGISTERS, 1), np.uint64) | np.uint64(1)
@@ -151,51 +154,121 @@ def classes(found: DataFrame, rows: DataFrame, similar: tuple[int, int] = SIMILA
 def linked(buckets: DataFrame, sets: DataFrame, similar: tuple[int, int] = SIMILAR, pairs: DataFrame | None = None) -> DataFrame:
     """``(fp, root)``: components of the links among the members of each bucket, without forming all pairs of a bucket.
 
-    Every member of a bucket is compared with one centre only.  Let D(x) be the shingles that only one of x and the centre
-    c holds.  Sets x and y link if at most t (|x| + |y|) shingles are in one of them only, t = (1 - s) / (1 + s); that
-    number is |D(x)| + |D(y)| less twice what D(x) and D(y) share.  If x does not link with c, then |D(x)| is over
-    t (|x| + |c|), and every y that x can still link with shares part of D(x): at least |D(x)| - t (|x| + |y|), and over
-    (|D(y)| + t (|c| - |y|)) / 2.  So what is left of a bucket goes into one bucket for each of the rarest of those
-    differences, as many as must hold a shared one (a prefix filter), and of these only buckets matter that hold two
-    components and a set that does not link with c.  Copies that differ from the centre each in its own way share no
-    rare difference, so nearly all buckets end here.  Each round leaves out its centres, so the rounds end.
+    Every member of a bucket is compared with one centre.  A bucket that this does not connect is a group, and goes on
+    by what its members have of their own.  Let V be the group's consensus (what over half of its members hold), D(x)
+    the shingles in only one of x and V, and f(x) = |D(x)| - t |x| with t = (1 - s) / (1 + s).  Sets link if at most
+    t (|x| + |y|) shingles are in only one of them, which are |D(x)| + |D(y)| less twice what D(x) and D(y) share.  Let c
+    be the member with the least f.  If x does not link with c, then f(x) + f(c) > 0 (what they share only adds to it),
+    so for any y the sum f(x) + f(y) is positive too, and x and y can link only if D(x) and D(y) share over half of it.
+    So x and y meet in a bucket of a shared difference:
+
+    * a shingle that both hold and V does not (every member is filed under all of these), or
+    * one that V holds and both lack.  If they share none of the first kind, then over (f(y) - f(c)) / 2 of those that y
+      lacks are lacking in x.  So y is filed under as many of them as may have to be tried, and x under all, unless even
+      sharing all of y's would not do.
+
+    At most half of a group meets in such a bucket, since what more than half hold belongs to V, so the rounds end.  Buckets of up to
+    ``PAIRED`` sets are compared in pairs, larger ones start again, at most log(size) times.  Copies that were changed in
+    different places share no such difference, so nearly all groups end after the first round.
     """
     num, den = similar
     t = (den - num) / (den + num)
-    edges = None
+    edges, first = None, True
     if pairs is not None:
-        seeds = pairs.filter("a != b").select(F.col("a").alias("c"), F.col("b").alias("fp"), F.lit(False).alias("more"))
-        edges = stage(compared(seeds, sets, similar).filter("linked").select(F.col("c").alias("a"), F.col("fp").alias("b")), "edges")
+        edges = _links(pairs.filter("a != b").select(F.col("a").alias("c"), F.col("b").alias("fp")), sets, similar)
     while True:
         most = F.max(F.struct("crowd", "fp"))["fp"].alias("c")
         ranked = buckets.join(sets.select("fp", F.coalesce("crowd", F.lit(0)).alias("crowd")), "fp")
         centres = ranked.groupBy("key").agg(most, (F.count(F.lit(1)) > 2).alias("more"))
-        stars = buckets.join(stage(centres, "centres"), "key").filter("fp != c").groupBy("c", "fp").agg(F.max("more").alias("more"))
+        centres = stage(centres, "centres")
+        stars = buckets.join(centres, "key").filter("fp != c").groupBy("c", "fp").agg(F.max("more").alias("more"))
         met = stage(compared(stars, sets, similar), "compared")
         new = met.filter("linked").select(F.col("c").alias("a"), F.col("fp").alias("b"))
         roots = components(new if edges is None else new.unionByName(edges))
         edges = roots.select(F.col("fp").alias("a"), F.col("root").alias("b"))
-        left = met.filter("more").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-        apart = left.groupBy("c").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("linked").alias("all_linked"))
-        left = left.join(stage(apart.filter("low < high and not all_linked").select("c"), "apart"), "c")
-        d, reach = F.size("differs"), F.col("n") * (1 + den / num) * t
-        shared = F.greatest(F.lit(1), F.ceil(d - reach - 1e-9), F.when(F.col("linked"), F.ceil((d - t * F.col("grown")) / 2 - 1e-9)).otherwise(1))
-        split = left.select("c", "fp", "root", "linked", (d - shared + 1).alias("prefix"), F.explode("differs").alias("e"))
-        split = stage(split.withColumn("key", F.xxhash64("c", "e")).drop("e"), "split")
-        holders = split.groupBy("key").agg(F.count(F.lit(1)).alias("holders"))
-        rarest = Window.partitionBy("c", "fp").orderBy("holders", "key")
-        split = split.join(holders, "key").withColumn("place", F.row_number().over(rarest)).filter("place <= prefix and holders > 1")
-        split = stage(split.select("key", "fp", "root", "linked"), "prefixes")
-        held = split.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("linked").alias("all_linked"))
-        held = stage(held.filter("low < high and not all_linked").select("key"), "held")
-        buckets = stage(split.join(held, "key", "left_semi").select("key", "fp").distinct(), "buckets")
-        if buckets.isEmpty():
+        if first:  # the bands of one centre are one group
+            placed, first = met.filter("more").withColumn("key", F.xxhash64("c")), False
+        else:
+            places = buckets.join(centres, "key").filter("more").select("key", "c", "fp")
+            placed = met.join(places, ["c", "fp"])
+        group = _apart(placed, roots)
+        if group.isEmpty():
             return roots
+        group, second = _around_consensus(group, sets, similar, t)
+        filed = stage(_filed(group, t), "filed")
+        held = filed.groupBy("key").agg(F.count_distinct("fp").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"), F.max("alone").alias("alone"))
+        held = stage(held.filter("low < high and alone").select("key", "size"), "held")
+        few = stage(filed.join(held.filter(F.col("size") <= PAIRED), "key").select("key", "fp", "root", "alone").distinct(), "few")
+        other = few.select("key", F.col("fp").alias("c"), F.col("root").alias("_root"))
+        tried = few.filter("alone").join(other, "key").filter("root != _root").select(F.greatest("c", "fp").alias("c"), F.least("c", "fp").alias("fp")).distinct()
+        edges = edges.unionByName(second).unionByName(_links(tried, sets, similar))
+        buckets = stage(filed.join(held.filter(F.col("size") > PAIRED), "key").select("key", "fp").distinct(), "buckets")
+        if buckets.isEmpty():
+            return components(edges)
+
+
+def _links(pairs: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """The pairs ``(c, fp)`` that link, as ``(a, b)``."""
+    found = compared(pairs.withColumn("more", F.lit(False)), sets, similar).filter("linked")
+    return stage(found.select(F.col("c").alias("a"), F.col("fp").alias("b")), "edges")
+
+
+def _apart(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows of the groups (``key``) whose members are in several components, with their ``root``."""
+    rows = met.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    several = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size"))
+    return stage(rows.join(stage(several.filter("low < high").select("key", "size"), "several"), "key"), "apart")
+
+
+def _around_consensus(group: DataFrame, sets: DataFrame, similar: tuple[int, int], t: float) -> tuple[DataFrame, DataFrame]:
+    """Members and old centre of each group with their differences from the consensus: what they ``hold`` and ``miss``,
+    ``f``, the least f of the group (``f_c``) and ``alone`` (no link with the member of least f); and new links."""
+    none = F.array().cast("array<bigint>")
+    each = group.select("key", "size", F.explode(F.concat(_tagged("adds", True), _tagged("lacks", False))).alias("d"))
+    common = each.groupBy("key", "d").agg(F.count(F.lit(1)).alias("holders"), F.first("size").alias("size")).filter(2 * F.col("holders") > F.col("size") + 1)
+    gained, lost = (F.collect_list(F.when(F.col("d.added") == x, F.col("d.e"))) for x in (True, False))
+    common = stage(common.groupBy("key").agg(gained.alias("gained"), lost.alias("lost")), "consensus")
+    centre = group.select("key", "c").distinct().join(sets.select(F.col("fp").alias("c"), "n"), "c")
+    lone = centre.join(_root_of(group), "c").select("key", "c", F.col("c").alias("fp"), "n", "root", none.alias("adds"), none.alias("lacks"), F.lit(True).alias("linked"))
+    rows = group.select("key", "c", "fp", "n", "root", "adds", "lacks", "linked").unionByName(lone).join(common, "key", "left")
+    gained, lost = F.coalesce("gained", none), F.coalesce("lost", none)
+    holds = F.concat(F.array_except("adds", gained), F.array_except(lost, F.col("lacks")))
+    misses = F.concat(F.array_except("lacks", lost), F.array_except(gained, F.col("adds")))
+    rows = rows.select("key", "c", "fp", "n", "root", "linked", holds.alias("holds"), misses.alias("misses"))
+    rows = stage(rows.withColumn("f", F.size("holds") + F.size("misses") - t * F.col("n")), "differences")
+    best = F.min(F.struct("f", "fp"))
+    best = stage(rows.groupBy("key").agg(best["f"].alias("f_c"), best["fp"].alias("best")), "best")
+    rows = rows.join(best, "key")
+    again = rows.filter("best != c and best != fp").select(F.col("best").alias("c"), "fp").distinct()
+    new = _links(again, sets, similar)
+    rows = rows.join(new.select(F.col("a").alias("best"), F.col("b").alias("fp"), F.lit(True).alias("_near")), ["best", "fp"], "left")
+    near = F.when(F.col("best") == F.col("c"), F.col("linked")).otherwise((F.col("best") == F.col("fp")) | F.col("_near").isNotNull())
+    return stage(rows.withColumn("alone", ~near).drop("_near", "linked", "best"), "group"), new
+
+
+def _root_of(group: DataFrame) -> DataFrame:
+    """The component of each centre: that of a member it links with, else its own."""
+    found = group.filter("linked").groupBy("c").agg(F.first("root").alias("root"))
+    return group.select("c").distinct().join(found, "c", "left").withColumn("root", F.coalesce("root", "c"))
+
+
+def _tagged(column: str, added: bool) -> Column:
+    return F.transform(column, lambda e: F.struct(F.lit(added).alias("added"), e.alias("e")))
+
+
+def _filed(group: DataFrame, t: float) -> DataFrame:
+    """``(key, fp, root, alone)``: the buckets of shared differences that each member is filed under."""
+    most = group.groupBy("key").agg(F.max(F.size("misses") - F.size("holds") + t * F.col("n")).alias("most"))
+    rows = group.join(stage(most, "most"), "key")
+    tried = F.greatest(F.lit(0), F.size("misses") - F.floor((F.col("f") - F.col("f_c")) / 2 - 1e-9)).cast("int")
+    all_of = F.col("alone") & (F.col("f") <= F.col("most") + 1e-9)
+    missed = F.when(all_of, F.col("misses")).otherwise(F.slice(F.array_sort("misses"), 1, tried))
+    return rows.select("key", "fp", "root", "alone", F.explode(F.concat("holds", missed)).alias("e")).select(F.xxhash64("key", "e").alias("key"), "fp", "root", "alone")
 
 
 def compared(pairs: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """Pairs ``(c, fp, more)`` with ``n`` of fp, ``linked``, ``grown`` (by how much fp is larger than c) and, where more
-    members of the bucket wait, ``differs``: the shingles that only one of both holds.
+    """Pairs ``(c, fp, more)`` with ``n`` of fp, ``linked`` and, where more members of the bucket wait, the shingles that
+    fp ``adds`` to c and ``lacks`` of it.
 
     A pair that nobody else waits for is dropped unseen if the sizes or the registers rule it out.
     """
@@ -206,15 +279,15 @@ def compared(pairs: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> Dat
     full = judged.join(sets.select(F.col("fp").alias("c"), F.col("shingles").alias("_c")), "c")
     full = full.join(sets.select("fp", F.col("shingles").alias("_x")), "fp")
     both = F.size(F.array_intersect("_c", "_x"))
-    differs = F.concat(F.array_except("_x", "_c"), F.array_except("_c", "_x"))
+    none = F.array().cast("array<bigint>")
     return full.select(
         "c",
         "fp",
         "more",
         "n",
         (den * both >= num * (F.col("n") + F.col("m") - both)).alias("linked"),
-        (F.col("n") - F.col("m")).alias("grown"),
-        F.when(F.col("more"), differs).otherwise(F.array().cast("array<bigint>")).alias("differs"),
+        F.when(F.col("more"), F.array_except("_x", "_c")).otherwise(none).alias("adds"),
+        F.when(F.col("more"), F.array_except("_c", "_x")).otherwise(none).alias("lacks"),
     )
 
 
