@@ -38,6 +38,7 @@ FAN = 16
 BROADCAST_PAIRS = 1 << 22
 _SPACE = "▁"
 _UNSAFE = re.compile(rf"^\s| $| \s|{_SPACE}")
+_NAMES = [str(i) for i in range(1 << 16)]
 _BYTE_PIECE = re.compile("<0x([0-9A-F]{2})>")
 
 
@@ -64,33 +65,46 @@ class Tokenizers:
         self.a_bytes = {i: bytes(byte.get(c, 0) for c in t) for t, i in vocabulary.items()}
         self.model = sentencepiece.SentencePieceProcessor(model_file=b_path)
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+        self.a_size = np.zeros(max(self.a_bytes) + 1, np.int64)
+        for i, t in self.a_bytes.items():
+            self.a_size[i] = len(t)
         self.b_bytes = [bytes([int(m[1], 16)]) if (m := _BYTE_PIECE.fullmatch(p)) else p.replace(_SPACE, " ").encode() for p in pieces]
+        self.b_size = np.array([len(t) for t in self.b_bytes], np.int64)
         #: A piece holds spaces at its head only, so it never reaches over the space between two words.
         self.by_word = not any(_SPACE in p.lstrip(_SPACE) for p in pieces)
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]] | None]:
-        """Ids of space + text in both; None where their bytes are not those of space + text."""
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, ...]:
+        """Ids of space + text in both, with their number per text, and whether their bytes are those of space + text."""
+        one, two, same = [], [], []
         for text, b in zip(texts, self.model.encode(texts, num_threads=1)):
             a, whole = self.plain(" " + text), to_bytes(" " + text)
-            same = b"".join([self.a_bytes[i] for i in a]) == whole == b"".join([self.b_bytes[i] for i in b])
-            yield (a, b) if same else None
+            same.append(b"".join([self.a_bytes[i] for i in a]) == whole == b"".join([self.b_bytes[i] for i in b]))
+            one.append(a if same[-1] else [])
+            two.append(b if same[-1] else [])
+        return *_flat(one), *_flat(two), np.array(same, bool)
 
-    def encode_words(self, words: list[str]) -> Iterator[tuple[list[int], list[int]] | None]:
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, ...]:
         """The same for words, many at a time: A reads them as one text and is cut where words end."""
+        found = []
         for at in range(0, len(words), WORDS_AT_ONCE):
             part = words[at : at + WORDS_AT_ONCE]
             text = " " + " ".join(part)
-            b, a = self.model.encode(part, num_threads=1), self.plain(text)
-            ends = np.cumsum([len(w.encode()) + 1 for w in part])
-            a_end = np.cumsum([len(self.a_bytes[i]) for i in a])
+            pieces, a = self.model.encode(part, num_threads=1), np.array(self.plain(text), np.int64)
+            b, n_b = _flat(pieces)
+            ends = np.cumsum(np.fromiter(map(len, map(str.encode, part)), np.int64, len(part)) + 1)
+            a_end, b_end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
             cut = np.searchsorted(a_end, ends)
-            size = [sum([len(self.b_bytes[i]) for i in x]) for x in b]
-            same = a_end[-1] == ends[-1] and (a_end[cut] == ends).all() and (np.cumsum(size) == ends).all()
-            if same and b"".join([self.b_bytes[i] for x in b for i in x]) == text.encode():
-                cuts = [0, *(cut + 1).tolist()]
-                yield from zip([a[i:j] for i, j in zip(cuts, cuts[1:])], b)
+            same = a_end[-1] == ends[-1] == b_end[-1] and (a_end[cut] == ends).all() and (b_end[np.cumsum(n_b) - 1] == ends).all()
+            if same and b"".join(map(self.b_bytes.__getitem__, chain.from_iterable(pieces))) == text.encode():
+                found.append((a, np.diff(cut, prepend=-1), b, n_b, np.ones(len(part), bool)))
             else:
-                yield from self.encode(part)
+                found.append(self.encode(part))
+        return tuple(map(np.concatenate, zip(*found)))
+
+
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int64, int(sizes.sum())), sizes
 
 
 def _encode_plain(path: str):
@@ -137,10 +151,7 @@ class Aligner:
 
     def __init__(self, a_path: str, b_path: str, shown: bool = True):
         self.tokens, self.shown = _tokenizers(a_path, b_path), shown
-        self.a_size = np.zeros(max(self.tokens.a_bytes) + 1, np.int64)
-        for i, t in self.tokens.a_bytes.items():
-            self.a_size[i] = len(t)
-        self.b_size = np.array([len(t) for t in self.tokens.b_bytes], np.int64)
+        self.a_size, self.b_size = self.tokens.a_size, self.tokens.b_size
         if max(len(self.a_size), len(self.b_size)) > 1 << 16:
             raise ValueError("a vocabulary has over 65,536 entries")
         self.age = 0
@@ -173,15 +184,14 @@ class Aligner:
 
     def _learn(self, words: list[str], encode: Callable) -> None:
         """Number new units and keep what is known of them; one pass of array operations for all of them."""
-        both = []
-        for word, ids in zip(words, encode(words)):
-            self.numbers[word] = -1 if ids is None else len(self.groups) + len(both)
-            if ids is not None:
-                both.append(ids)
-        if not both:
+        if not words:
+            return
+        a, n_a, b, n_b, same = encode(words)
+        numbers = np.where(same, len(self.groups) - 1 + np.cumsum(same), -1)
+        self.numbers.update(zip(words, numbers.tolist()))
+        n_a, n_b = n_a[same], n_b[same]
+        if not len(n_a):
             return
-        n_a, n_b = (np.array([len(x[i]) for x in both], np.int64) for i in (0, 1))
-        a, b = (np.fromiter(chain.from_iterable(x[i] for x in both), np.int64) for i in (0, 1))
         a_end, b_end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
         common = np.intersect1d(a_end, b_end, assume_unique=True)  # every unit's end is among them
         a_group, b_group = np.searchsorted(common, a_end), np.searchsorted(common, b_end)
@@ -193,14 +203,14 @@ class Aligner:
         self.facts.frombytes(np.stack((n_a, n_b, n_groups, n_links), 1).tobytes())
         large = np.flatnonzero(n_links > MANY_LINKS)
         width = in_b[a_group]
-        unit = np.repeat(np.arange(len(both)), n_a)
+        unit = np.repeat(np.arange(len(n_a)), n_a)
         width[np.isin(unit, large)] = 0
         left = np.repeat(np.arange(len(a)), width)
         right = np.arange(len(left)) - np.repeat(np.cumsum(width) - width, width) + (np.cumsum(in_b) - in_b)[a_group[left]]
         keys, times = a[left] << 16 | b[right], np.ones(len(left), np.int64)
         sizes = np.where(n_links > MANY_LINKS, 0, n_links)
         for u in large.tolist():  # few: equal ids of a group are counted together
-            own_a, own_b = unit == u, np.repeat(np.arange(len(both)), n_b) == u
+            own_a, own_b = unit == u, np.repeat(np.arange(len(n_b)), n_b) == u
             more = pairs_of(a[own_a], b[own_b], a_group[own_a], b_group[own_b])
             at = int(sizes[:u].sum())
             keys, times = (np.concatenate((x[:at], y, x[at:])) for x, y in zip((keys, times), more))
@@ -214,7 +224,7 @@ class Aligner:
         if not self.shown:
             self.groups += [""] * len(n_groups)
             return
-        one, two, i, j, parts = list(map(str, a.tolist())), list(map(str, b.tolist())), 0, 0, []
+        one, two, i, j, parts = [_NAMES[x] for x in a.tolist()], [_NAMES[x] for x in b.tolist()], 0, 0, []
         for x, y in zip(in_a.tolist(), in_b.tolist()):
             if x == y == 1:
                 parts.append(f"{one[i]}|{two[j]}")
