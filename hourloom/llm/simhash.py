@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.column import Column
 
+from hourloom.llm import setsketch
 from hourloom.llm.common import K1, K2, field, id_text, map_batches, row_key, stage, to_bytes
 from hourloom.llm.components import components
 
@@ -84,6 +85,33 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return keyed.join(kept, [K1, K2], "left_semi").dropDuplicates([K1, K2]).drop(K1, K2)
 
 
+def keep_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: tuple[int, int] = (4, 5), shingle_words: int = 5) -> DataFrame:
+    """Of texts that links of ``similar`` or more connect, the one with the smallest id (then row key) stays as it is.
+
+    Similarity is that of the sets of shingles (shared over all).  Fingerprints over the same shingles that differ in
+    ``MAX_BITS`` or less give the first candidates.  At a similarity of 0.8 fingerprints differ in about 10 of 64 bits,
+    too many for Hamming balls around segments, so the bands of ``setsketch`` give the others; the full sets decide on
+    all of them.  Texts without words are equal.  Of rows that repeat both id and text one stays; which one is open where
+    their other columns differ.
+    """
+    keyed = docs.withColumns(dict(zip((K1, K2), row_key(F.col(id_col), F.col(text_col)))))
+    rows = keyed.select(K1, K2, F.col(id_col).alias("_hl_id"), F.col(text_col).alias("_hl_text"))
+    found = stage(setsketch.sketches(rows, shingle_words), "sketches")
+    rank = F.struct(F.isnull("_hl_id"), "_hl_id", K1, K2)
+    one = found.filter("n > 0").groupBy("fp").agg(F.min(F.struct(K1, K2)).alias("row")).select(F.col("fp").alias("set"), f"row.{K1}", f"row.{K2}")
+    prints = stage(fingerprints(rows.join(one, [K1, K2]).dropDuplicates([K1, K2]).select("set", "_hl_text"), shingle_words), "fingerprints")
+    of_print = stage(prints.groupBy("fp").agg(F.min("set").alias("least")), "of-print")
+    same = prints.join(of_print, "fp").filter("set != least").select(F.col("least").alias("a"), F.col("set").alias("b"))
+    near = links(of_print.select("fp")).join(of_print.select(F.col("fp").alias("a"), F.col("least").alias("_a")), "a")
+    near = near.join(of_print.select(F.col("fp").alias("b"), F.col("least").alias("_b")), "b")
+    pairs = same.unionByName(near.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+    pairs = stage(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "print-pairs")
+    roots = setsketch.classes(found, rows, similar, pairs, shingle_words)
+    least = found.groupBy("fp").agg(F.min(rank).alias("least")).join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    kept = least.groupBy("root").agg(F.min("least").alias("least")).select(f"least.{K1}", f"least.{K2}")
+    return keyed.join(stage(kept, "kept"), [K1, K2], "left_semi").dropDuplicates([K1, K2]).drop(K1, K2)
+
+
 def _with_components(found: DataFrame, rank: str) -> DataFrame:
     """Adds ``component``, the smallest ``rank`` that the row's fingerprint reaches."""
     distinct = stage(found.groupBy("fp").agg(F.min(rank).alias("_hl_least")), "distinct")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -30,17 +31,20 @@ class SuffixFamily:
     A piece has a suffix that begins at its anchor and a head before it.  ``add`` sorts a batch's suffixes, scans them
     against every level from the place where they would merge, and then merges levels of equal size.  Two pieces whose
     suffixes share ``gram`` bytes are compared to the full extent on both sides of the anchor; all windows of ``width``
-    bytes inside the common part are marked in both.  Equal pieces must be entered once.
+    bytes inside the common part are marked in both, or with ``earlier`` only in the one of larger rank.  Equal pieces
+    must be entered once.
     """
 
-    def __init__(self, width: int = WIDTH, gram: int = GRAM):
-        self.width, self.gram = width, gram
+    def __init__(self, width: int = WIDTH, gram: int = GRAM, earlier: bool = False):
+        self.width, self.gram, self.earlier = width, gram, earlier
+        self.ranks: list[tuple] = []
         self.levels: list[list[tuple[bytes, int]]] = []
         self.heads: list[bytes] = []
         self.marks: list[np.ndarray] = []
 
-    def add(self, batch: list[tuple[bytes, int]]) -> None:
-        """``batch``: pieces as (bytes, place of the anchor)."""
+    def add(self, batch: list[tuple[bytes, int]], ranks: list[tuple] | None = None) -> None:
+        """``batch``: pieces as (bytes, place of the anchor); ``ranks``: of each the least text that holds it."""
+        self.ranks += ranks or [()] * len(batch)
         first = len(self.heads)
         array = sorted((piece[lead:], first + i) for i, (piece, lead) in enumerate(batch))
         self.heads += [piece[:lead] for piece, lead in batch]
@@ -63,7 +67,9 @@ class SuffixFamily:
             after = _common(suffix, other)
             before = _common(self.heads[own][::-1], self.heads[who][::-1])
             if before + after >= self.width:
-                for piece in (own, who):
+                for piece, partner in ((own, who), (who, own)):
+                    if self.earlier and self.ranks[partner] >= self.ranks[piece]:
+                        continue
                     lead = len(self.heads[piece])
                     self.marks[piece][lead - before : max(0, lead + after - self.width + 1)] = True
             at += 1
@@ -114,33 +120,39 @@ def _cut_out(text: bytes, wants: list[tuple[int, int]]) -> list[bytes]:
     return [text[a : a + n] for a, n in wants]
 
 
-def _windows(piece: bytes) -> list[bytes]:
-    return [piece[i : i + WIDTH] for i in range(len(piece) - WIDTH + 1)]
-
-
-def _compare(texts: DataFrame) -> DataFrame:
+def _compare(texts: DataFrame, width: int, earlier: bool) -> DataFrame:
     """Windows that pieces share with others, by one family per bucket of anchors."""
     size = texts.agg(F.sum(F.length("piece"))).first()[0] or 0
     buckets = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES + 1)
     schema = T.StructType([T.StructField("anchor", T.LongType()), T.StructField("digest", T.LongType()), T.StructField("ranges", pieces.RANGE)])
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        family, names = SuffixFamily(), {}
+        family, names = SuffixFamily(width, earlier=earlier), {}
         for batch in batches:
-            new = []
-            for anchor, digest, piece, lead in zip(batch["anchor"], batch["digest"], batch["piece"], batch["lead"]):
+            new, ranks = [], []
+            for anchor, digest, piece, lead, none, least in zip(*(batch[c] for c in ("anchor", "digest", "piece", "lead", "none", "id"))):
                 if names.setdefault((anchor, digest), len(names)) == len(family.heads) + len(new):
                     new.append((piece, lead))
-            family.add(new)
+                    ranks.append((none, 0 if none else least))
+            family.add(new, ranks)
         marked = [(name, pieces.runs(m)) for name, m in zip(names, family.marks) if m.any()]
         yield {"anchor": [n[0] for n, _ in marked], "digest": [n[1] for n, _ in marked], "ranges": [r for _, r in marked]}
 
-    return map_partition(texts.select("anchor", "digest", "lead", "piece").repartition(buckets, "anchor"), run, schema)
+    rows = texts.select("anchor", "digest", "lead", "piece", F.col("rank.none").alias("none"), F.col("rank.id").alias("id"))
+    return map_partition(rows.repartition(buckets, "anchor"), run, schema)
 
 
-def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(_hl_k1, _hl_k2, spans)``: byte ranges that lie in a 400-byte string found at two places or more."""
-    return pieces.repeated(docs, id_col, text_col, cut_bytes, _cut_out, _compare, _windows, WIDTH, earlier=False)
+def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, earlier: bool = False) -> DataFrame:
+    """``(_hl_k1, _hl_k2, spans)``: byte ranges that lie in a string of ``width`` bytes found at two places or more.
+
+    With ``earlier`` only those count that also start in a text with a smaller id (a null id is larger than any).
+    """
+
+    def windows(piece: bytes) -> list[bytes]:
+        return [piece[i : i + width] for i in range(len(piece) - width + 1)]
+
+    cutter, compare = partial(cut_bytes, width=width), partial(_compare, width=width, earlier=earlier)
+    return pieces.repeated(docs, id_col, text_col, cutter, _cut_out, compare, windows, width, earlier)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -154,14 +166,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return pieces.applied(docs, repeated_bytes(docs, id_col, text_col), id_col, text_col, _without, fields)
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = None) -> DataFrame:
-    """The rows with repeated bytes cut out of the text (see ``remove_repeats``) and other columns as they are.
+def without_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = None, width: int = WIDTH, earlier: bool = False
+) -> DataFrame:
+    """The rows with repeated bytes (see ``repeated_bytes``) cut out of the text and other columns as they are.
+
+    With ``earlier`` the text with the smallest id keeps a repeated string.  Rows with equal ids leave each other alone.
 
     A character of which only some bytes are left is dropped.  ``size_col`` names a column that is to hold the number of
     characters left.  A null text stays null.
     """
     keyed = docs.withColumns(dict(zip((pieces.K1, pieces.K2), row_key(F.col(id_col), F.col(text_col)))))
-    found = repeated_bytes(docs, id_col, text_col).withColumnRenamed("spans", "_hl_spans")
+    found = repeated_bytes(docs, id_col, text_col, width, earlier).withColumnRenamed("spans", "_hl_spans")
     joined = keyed.join(found, [pieces.K1, pieces.K2], "left").select(*docs.columns, "_hl_spans")
     at = docs.columns.index(text_col)
     size_at = None if size_col is None else docs.columns.index(size_col)
