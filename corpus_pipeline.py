@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourloom.llm import decontaminate, packing, quality, shingles, suffixes
+from hourloom.llm import decontaminate, packing, quality, simhash, suffixes
 from hourloom.llm.common import stage
 
 
+#: Shorter than fifty words of running text, longer than a license line.
+PASSAGE_BYTES = 240
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
     return quality.keep_good(docs)
@@ -16,15 +20,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity 0.8 or more) the document with the smallest id stays."""
-    return shingles.keep_one(docs)
+    return simhash.keep_similar(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes inside 400-byte strings that occur twice are cut out; every document stays, with n_chars brought up to date.
+    """Passages that a document with a smaller id holds too are cut out, with n_chars brought up to date.
 
-    Characters of which only some bytes are left are dropped.
+    A passage is a string of ``PASSAGE_BYTES`` or more; one copy of it stays, and every document does.  Characters of
+    which only some bytes are left are dropped.
     """
-    return suffixes.without_repeats(docs, size_col="n_chars")
+    return suffixes.without_repeats(docs, size_col="n_chars", width=PASSAGE_BYTES, earlier=True)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
