@@ -196,11 +196,14 @@ def linked(buckets: DataFrame, sets: DataFrame, similar: tuple[int, int] = SIMIL
             return roots
         group, second = _around_consensus(group, sets, similar, t)
         filed = stage(_filed(group, t), "filed")
-        held = filed.groupBy("key").agg(F.count_distinct("fp").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"), F.max("alone").alias("alone"))
-        held = stage(held.filter("low < high and alone").select("key", "size"), "held")
-        few = stage(filed.join(held.filter(F.col("size") <= PAIRED), "key").select("key", "fp", "root", "alone").distinct(), "few")
-        other = few.select("key", F.col("fp").alias("c"), F.col("root").alias("_root"))
-        tried = few.filter("alone").join(other, "key").filter("root != _root").select(F.greatest("c", "fp").alias("c"), F.least("c", "fp").alias("fp")).distinct()
+        bounds = [F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.when(F.col("alone"), F.col("f"))).alias("least"), F.max("reach").alias("reach")]
+        held = filed.groupBy("key").agg(F.count_distinct("fp").alias("size"), *bounds)
+        held = stage(held.filter("low < high and least <= reach + 1e-9").select("key", "size"), "held")
+        few = stage(filed.join(held.filter(F.col("size") <= PAIRED), "key").drop("size").distinct(), "few")
+        other = few.select("key", *[F.col(x).alias(f"_{x}") for x in ("fp", "root", "f", "reach")])
+        meets = (F.col("root") != F.col("_root")) & (F.col("f") <= F.col("_reach") + 1e-9) & (F.col("_f") <= F.col("reach") + 1e-9)
+        tried = few.filter("alone").join(other, "key").filter(meets)
+        tried = tried.select(F.greatest("_fp", "fp").alias("c"), F.least("_fp", "fp").alias("fp")).distinct()
         edges = edges.unionByName(second).unionByName(_links(tried, sets, similar))
         buckets = stage(filed.join(held.filter(F.col("size") > PAIRED), "key").select("key", "fp").distinct(), "buckets")
         if buckets.isEmpty():
@@ -257,13 +260,21 @@ def _tagged(column: str, added: bool) -> Column:
 
 
 def _filed(group: DataFrame, t: float) -> DataFrame:
-    """``(key, fp, root, alone)``: the buckets of shared differences that each member is filed under."""
-    most = group.groupBy("key").agg(F.max(F.size("misses") - F.size("holds") + t * F.col("n")).alias("most"))
-    rows = group.join(stage(most, "most"), "key")
-    tried = F.greatest(F.lit(0), F.size("misses") - F.floor((F.col("f") - F.col("f_c")) / 2 - 1e-9)).cast("int")
+    """``(key, fp, root, alone, f, reach)``: the buckets of shared differences that each member is filed under.
+
+    Two members of a bucket can only link if the f of each is at most the ``reach`` of the other: twice what they can
+    share, less the other's f.  For a difference that V holds that is what the other misses, as pairs that share one of
+    the other kind meet there.
+    """
+    held, missing = F.size("holds"), F.size("misses")
+    rows = group.withColumns({"by_miss": 2 * missing - F.col("f"), "by_hold": 2 * (missing + held) - F.col("f")})
+    rows = rows.join(stage(rows.groupBy("key").agg(F.max("by_miss").alias("most")), "most"), "key")
+    tried = F.greatest(F.lit(0), missing - F.floor((F.col("f") - F.col("f_c")) / 2 - 1e-9)).cast("int")
     all_of = F.col("alone") & (F.col("f") <= F.col("most") + 1e-9)
     missed = F.when(all_of, F.col("misses")).otherwise(F.slice(F.array_sort("misses"), 1, tried))
-    return rows.select("key", "fp", "root", "alone", F.explode(F.concat("holds", missed)).alias("e")).select(F.xxhash64("key", "e").alias("key"), "fp", "root", "alone")
+    kinds = [F.transform(c, lambda e: F.struct(e.alias("e"), F.col(reach).alias("reach"))) for c, reach in (("holds", "by_hold"), (missed, "by_miss"))]
+    rows = rows.select("key", "fp", "root", "alone", "f", F.explode(F.concat(*kinds)).alias("d"))
+    return rows.select(F.xxhash64("key", "d.e").alias("key"), "fp", "root", "alone", "f", "d.reach")
 
 
 def compared(pairs: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> DataFrame:
