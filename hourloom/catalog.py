@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,8 @@ from hourloom.functions import calendar
 from hourloom.functions.calendar import ntz
 from hourloom.functions.scalars import abnormal_with_value, decimals_to_double, in_list, round_columns, usable
 from hourloom.operators import calibrate, evaluate, lookback, models, panels, profiles, quality, spatial, windows
-from hourloom.operators.ordered import attach, fill_hourly
+from hourloom.operators.ordered import attach, complete_rows, cut, fill_hourly
+from hourloom.operators.quantile_trees import LEVELS, apply_quantile_trees, fit_quantile_trees
 from hourloom.plans import anomaly, dashboard, features, forecast
 from hourloom.schemas import ITEM_COLUMNS, READING_KEY, SERIES, TS, day_range
 from hourloom.sources.readers import series_rows
@@ -769,6 +771,50 @@ def ridge(spark, folder):
     return evaluate.forecast_metrics(fitted.withColumnRenamed("y", "y_true"), SERIES)
 
 
+@query
+def ridge_optimum(spark, folder):
+    """Ridge in log space: what is left of the conditions that its weights solve, per series.
+
+    The residuals add up to 0, and their products with each feature to the penalty times its weight.
+    """
+    train = fill_hourly(tb.network(spark, folder), SERIES)
+    rows = features.time_columns(train.withColumn("y", F.log1p("clean_value")), features.series_epochs(train))
+    weights = models.fit_ridge(rows, "y")
+    fitted = models.apply_ridge(rows, weights, "y_pred").withColumn("_r", F.col("y") - F.col("y_pred"))
+    products = [F.sum(F.col(c) * F.col("_r")).alias(f"_{i}") for i, c in enumerate(models.RIDGE_COLUMNS)]
+    sums = fitted.groupBy(*SERIES).agg(F.count("*").alias("n"), F.sum("_r").alias("_sum"), *products).join(weights, list(SERIES))
+    gaps = [F.abs(F.col(f"_{i}") - models.RIDGE_ALPHA * F.col("coefficients")[i]) for i in range(len(models.RIDGE_COLUMNS))]
+    return sums.select(*SERIES, "n", F.round(F.abs("_sum"), 4).alias("residual_sum"), F.round(F.greatest(*gaps), 3).alias("gradient"))
+
+
+@query
+def quantile_trees(spark, folder):
+    """Boosted 5 % and 95 % quantiles: hours per series, and whether each quantile has its share of all hours below it."""
+    train, _ = _holdout_week(spark, folder)
+    rows, columns = features.direct_features(train)
+    rows = complete_rows(rows.select(*SERIES, TS, "clean_value", *columns), ["clean_value", *columns])
+    judged = rows
+    for name, level in LEVELS.items():
+        judged = apply_quantile_trees(fit_quantile_trees(rows, "clean_value", columns, level), judged, name)
+    below = [F.sum((F.col("clean_value") <= F.col(name)).cast("int")).alias(f"_{name}") for name in LEVELS]
+    counted = cut(judged.groupBy(*SERIES).agg(F.count("*").alias("n"), *below))
+    gaps = [F.abs(F.sum(f"_{name}") / F.sum("n") - level) < 0.01 for name, level in LEVELS.items()]
+    covers = counted.agg((gaps[0] & gaps[1]).alias("covers"))
+    return counted.select(*SERIES, "n").join(F.broadcast(covers))
+
+
+@query
+def isolation_forest_share(spark, folder):
+    """Readings of each series that the forest flags among those it was fitted on: no more than the expected share."""
+    rows = tb.cleaned(spark, folder).select(*SERIES, TS, "clean_value", "instrument_status")
+    train = anomaly.labelled(rows)
+    scored = anomaly.predict_baseline(anomaly.train_baseline(train), train)
+    counted = scored.groupBy(*SERIES).agg(F.count("*").alias("n"), F.sum("predicted_status").alias("_flagged"))
+    joined = counted.join(panels.contamination(train, SERIES), list(SERIES))
+    most = F.col("n") - 1 - F.floor((F.col("n") - 1) * (1 - F.col("contamination")))
+    return joined.select(*SERIES, "n", most.alias("most"), (F.col("_flagged") <= most).alias("within"))
+
+
 @query
 def ensemble_weights(spark, folder):
     return calibrate.ensemble_weights(tb.forecasts(spark, folder))
@@ -797,6 +843,15 @@ def gbt_anomaly(spark, folder):
     return evaluate.detection_metrics(judged, SERIES, "label", "is_anomaly")
 
 
+@query
+def gbt_anomaly_holdout(spark, folder):
+    """Hours and true faults of the held-out month per series, as the detector judged them, and bounds of its report."""
+    found = gbt_anomaly(spark, folder)
+    shares = [F.col(c).between(0, 1) for c in ("f1_anomaly", "precision_anomaly", "recall_anomaly", "accuracy")]
+    bounded = reduce(lambda a, b: a & b, shares) & (F.col("n_predicted_anomalies") <= F.col("n_total"))
+    return found.select(*SERIES, "n_total", "n_true_anomalies", bounded.alias("bounded"))
+
+
 def _network_status(spark, folder):
     """The network series; every 11th shipping unit total marks a faulty hour."""
     return tb.network(spark, folder).withColumn(
@@ -833,3 +888,12 @@ def forecast_pipeline(spark, folder):
     around = forecast.Surroundings(_usable(spark, folder), tb.network_stations(spark, folder))
     model = forecast.train_forecast(train, held, around)
     return forecast.predict_forecast(model, held)
+
+
+@query
+def gbt_direct_hours(spark, folder):
+    """Hours that the direct model answers for, and that no answer is missing or negative."""
+    train, held = _holdout_week(spark, folder)
+    found = forecast.predict_direct(forecast.train_direct(train), train, held.drop("clean_value"))
+    good = F.min(F.coalesce(F.col("direct") >= 0, F.lit(False)))
+    return found.groupBy(*SERIES).agg(F.count("*").alias("n"), F.min(TS).alias("first"), F.max(TS).alias("last"), good.alias("good"))

@@ -912,3 +912,25 @@ FROM faces WHERE a >= 0 AND b >= 0 AND c >= 0) GROUP BY station_code, item_code"
     moments=MOMENTS,
     faces=FACES,
 )
+
+
+# --- models: what any right fit has in common ---------------------------------
+LATER = f"SELECT station_code, item_code, count(*) AS n, {{0}} FROM filled WHERE measurement_datetime >= {CUT} GROUP BY station_code, item_code"
+oracle(
+    "ridge_optimum",
+    "SELECT station_code, item_code, count(*) AS n, CAST(0 AS DOUBLE) AS residual_sum, CAST(0 AS DOUBLE) AS gradient FROM filled GROUP BY station_code, item_code",
+)
+oracle("quantile_trees", f"SELECT station_code, item_code, count(*) AS n, TRUE AS covers FROM filled WHERE measurement_datetime < {CUT} GROUP BY station_code, item_code")
+oracle("gbt_direct_hours", LATER.format("min(measurement_datetime) AS first, max(measurement_datetime) AS last, TRUE AS good"))
+oracle(
+    "isolation_forest_share",
+    """SELECT station_code, item_code, n, n - 1 - CAST(floor((n - 1) * (1 - share)) AS BIGINT) AS most, TRUE AS within FROM (
+SELECT station_code, item_code, count(*) - 24 AS n, greatest(avg(CASE WHEN instrument_status <> 0 THEN 1 ELSE 0 END), 0.01::DOUBLE) AS share
+FROM cleaned WHERE instrument_status IS NOT NULL GROUP BY station_code, item_code HAVING count(clean_value) > 0 AND count(*) > 24)""",
+)
+oracle(
+    "gbt_anomaly_holdout",
+    """SELECT station_code, item_code, count(*) AS n_total, CAST(sum(CASE WHEN clean_value % 11 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_true_anomalies, TRUE AS bounded FROM (
+SELECT *, measurement_datetime >= max(measurement_datetime) OVER (PARTITION BY station_code, item_code) - INTERVAL 1 MONTH + INTERVAL 1 HOUR AS held FROM network)
+WHERE held GROUP BY station_code, item_code""",
+)

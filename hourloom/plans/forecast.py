@@ -35,11 +35,10 @@ from hourloom.operators.models import (
     fill_medians,
     fit_boosted,
     fit_ridge,
-    residual_quantiles,
     scaling,
-    series_quantiles,
     standardise,
 )
+from hourloom.operators.quantile_trees import LEVELS, QUANTILE_TREES, QuantileTrees, apply_quantile_trees, fit_quantile_trees
 from hourloom.operators.ordered import attach, complete_rows, cut, fill_hourly, hours_in
 from hourloom.operators.spatial import (
     nearest_stations,
@@ -92,8 +91,7 @@ class ForecastModel:
     ridge: DataFrame
     medians: DataFrame
     scales: DataFrame
-    spread: DataFrame  # residual quantiles per series and hour of day
-    spread_all: DataFrame
+    quantiles: dict[str, QuantileTrees]  # q05 and q95 of the standardised target
     weights: DataFrame
     correction: DataFrame
     surroundings: Surroundings
@@ -168,21 +166,18 @@ def _components(rows: DataFrame, model: ForecastModel, targets: DataFrame) -> Da
     """Point models on the original scale and raw quantiles."""
     scored = _unscaled(apply_boosted(model.boosted, rows, "_lgbm_log"), model.scales, "_lgbm_log")
     scored = apply_ridge(scored, model.ridge, "_ridge_log")
-    scored = attach(scored.withColumn("_hour", F.hour(TS)), model.spread, [*SERIES, "_hour"])
-    scored = attach(scored, model.spread_all, SERIES)
+    for name, trees in model.quantiles.items():
+        scored = _unscaled(apply_quantile_trees(trees, scored, f"_{name}"), model.scales, f"_{name}")
 
     def back(log_value):
         return floor_at(F.expm1(log_value), 0.0)
 
-    low = F.col("_lgbm_log") + F.coalesce("r05", "r05_all", F.lit(0.0))
-    high = F.col("_lgbm_log") + F.coalesce("r95", "r95_all", F.lit(0.0))
     named = scored.select(
         *SERIES,
         TS,
         back(F.col("_lgbm_log")).alias("lgbm"),
         back(F.col("_ridge_log")).alias("ridge"),
-        back(low).alias("q05"),
-        back(high).alias("q95"),
+        *[back(F.col(f"_{name}")).alias(name) for name in LEVELS],
     )
     naive = seasonal_naive(targets.select(*SERIES, TS), model.train)
     return named.join(naive, [*SERIES, TS])
@@ -194,9 +189,10 @@ def train_forecast(
     around: Surroundings = Surroundings(),
     trees: int = TREE_COUNT,
     depth: int = TREE_DEPTH,
+    quantile_trees: int = QUANTILE_TREES,
     allow_future: bool = False,
 ) -> ForecastModel:
-    """Fit point models and spreads; with a validation part also weights and correction.
+    """Fit point models and quantile trees; with a validation part also weights and correction.
 
     ``train`` and ``validation`` are gap-filled (series, hour, value) tables.
     The validation part serves early stopping, weights and the conformal step.
@@ -219,8 +215,10 @@ def train_forecast(
 
     scales = cut(scaling(table, [VALUE]))  # one model over all series needs targets of one scale
     judged = None if checked is None else complete_rows(standardise(checked, scales, [VALUE]), [VALUE])
-    boosted = fit_boosted(standardise(table, scales, [VALUE]), VALUE, columns, judged, trees=trees, depth=depth)
-    fitted = cut(_unscaled(apply_boosted(boosted, table, "_p"), scales, "_p").select(*SERIES, TS, VALUE, "_p"))
+    judged = None if judged is None else cut(judged)
+    table = cut(standardise(table, scales, [VALUE]))
+    boosted = fit_boosted(table, VALUE, columns, judged, trees=trees, depth=depth)
+    bounds = {n: fit_quantile_trees(table, VALUE, columns, q, judged, quantile_trees) for n, q in LEVELS.items()}
     ridge_rows = ft.time_columns(_log(train), ft.series_epochs(train))
     flat = train.select(*SERIES).distinct()
     model = ForecastModel(
@@ -230,8 +228,7 @@ def train_forecast(
         ridge=cut(fit_ridge(ridge_rows, VALUE)),
         medians=medians,
         scales=scales,
-        spread=cut(residual_quantiles(fitted, VALUE, "_p")),
-        spread_all=cut(series_quantiles(fitted, VALUE, "_p")),
+        quantiles=bounds,
         weights=flat.withColumns({f"w_{m}": F.lit(w) for m, w in DEFAULT_WEIGHTS.items()}),
         correction=flat.withColumn("cqr", F.lit(0.0)),
         surroundings=around,

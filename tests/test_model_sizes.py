@@ -9,7 +9,9 @@ from hourloom.plans import anomaly, forecast
 
 CALLS = {
     "isolation_forest": (anomaly, "train_baseline"),
+    "isolation_forest_share": (anomaly, "train_baseline"),
     "gbt_anomaly": (anomaly, "train_anomaly"),
+    "gbt_anomaly_holdout": (anomaly, "train_anomaly"),
     "gbt_direct": (forecast, "train_direct"),
     "gbt_global": (forecast, "train_global"),
     "forecast_pipeline": (forecast, "train_forecast"),
@@ -32,4 +34,4 @@ def test_default_size(spark, monkeypatch, name):
     monkeypatch.setattr(plan, function, train)
     with pytest.raises(Reached):
         catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
-    assert not {"trees", "depth", "forest_trees"} & set(seen)
+    assert not {"trees", "depth", "forest_trees", "quantile_trees"} & set(seen)

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from hourloom.operators import calibrate, evaluate, forest, models, panels, quality, ranks, spatial
+from hourloom.operators import calibrate, evaluate, forest, models, panels, quality, quantile_trees, ranks, spatial
 from hourloom.schemas import DashboardRequest, dashboard_request, item_column
 
 
@@ -274,3 +274,36 @@ def test_ridge_without_rows_is_null():
 
 def test_no_weights_from_infinite_sums():
     assert calibrate.simplex_minimum(np.full((3, 3), np.inf), np.zeros(3)) is None
+
+
+@pytest.mark.parametrize("level", [0.05, 0.95])
+def test_quantile_trees_cover_their_share(spark, level):
+    rng = np.random.default_rng(6)
+    x = rng.uniform(0, 1, (6000, 2))
+    y = x[:, 0] + (0.1 + 2 * (x[:, 1] > 0.5)) * rng.normal(size=6000)  # the spread depends on b
+    pdf = pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "y": y})
+    train, held = spark.createDataFrame(pdf[:4000]), spark.createDataFrame(pdf[4000:])
+    model = quantile_trees.fit_quantile_trees(train, "y", ["a", "b"], level, trees=20)
+    got = quantile_trees.apply_quantile_trees(model, held, "q").toPandas()
+    for wide in (False, True):
+        part = got[(got["b"] > 0.5) == wide]
+        assert abs((part["y"] <= part["q"]).mean() - level) < 0.035
+        want = (part["a"] + (2.1 if wide else 0.1) * 1.6449 * (1 if level > 0.5 else -1)).mean()
+        assert part["q"].mean() == pytest.approx(want, abs=0.35 if wide else 0.1)
+    losses = quantile_trees.prefix_losses(model, held, "y")
+    error = got["y"] - got["q"]
+    assert losses[-1] == pytest.approx(np.maximum(level * error, (level - 1) * error).mean(), abs=1e-9)
+
+
+def test_quantile_leaves_are_residual_quantiles(spark):
+    rng = np.random.default_rng(7)
+    pdf = pd.DataFrame({"a": rng.integers(0, 2, 500).astype(float), "y": rng.normal(size=500)})
+    df = spark.createDataFrame(pdf)
+    model = quantile_trees.fit_quantile_trees(df, "y", ["a"], 0.95, trees=1, depth=1, step=1.0)
+    far = df.withColumn("y", F.lit(model.start))  # the first tree only leads away from these
+    assert len(quantile_trees.fit_quantile_trees(df, "y", ["a"], 0.95, far, trees=3, depth=1).trees) == 1
+    got = quantile_trees.apply_quantile_trees(model, spark.createDataFrame(pdf), "q").toPandas()
+    for a, part in got.groupby("a"):
+        rank = int(np.ceil(0.95 * len(part))) - 1
+        nearby = np.sort(part["y"])[rank - 1 : rank + 2]
+        assert part["q"].nunique() == 1 and nearby[0] <= part["q"].iloc[0] <= nearby[-1]

@@ -33,7 +33,7 @@ def test_forecast_requests_store_and_calibration(spark, readings, tmp_path):
     train = series.filter(F.col(TS) < F.lit("2022-02-20").cast("timestamp_ntz"))
     held = series.filter(F.col(TS) >= F.lit("2022-02-20").cast("timestamp_ntz"))
     filled = forecast.fill_hourly(train, SERIES)
-    model = forecast.train_forecast(filled, held, trees=3, depth=3)
+    model = forecast.train_forecast(filled, held, trees=3, depth=3, quantile_trees=6)
     weights = model.weights.toPandas()[["w_lgbm", "w_ridge", "w_naive"]]
     np.testing.assert_allclose(weights.sum(axis=1), 1, atol=1e-9)
 
@@ -43,18 +43,18 @@ def test_forecast_requests_store_and_calibration(spark, readings, tmp_path):
     assert inside >= 0.85
     assert judged.drop(columns=[TS]).notna().all().all()
 
-    store.save_forecast(model, str(tmp_path), 204, 2)
-    (tmp_path / "forecast" / "not-a-model").mkdir()
-    (tmp_path / "forecast" / "9_9").mkdir()
+    store.save_model(model, str(tmp_path))
     loaded = store.load_models(spark, str(tmp_path))
-    assert list(loaded) == [("forecast", 204, 2)]
+    assert list(loaded) == [("forecast", 1)]
+    want, got = (sorted(map(tuple, forecast.predict_forecast(m, held).collect())) for m in (model, loaded["forecast", 1]))
+    assert want == got
 
     requests = spark.createDataFrame(
         [(204, 2, "2022-02-25T00:00:00", "2022-02-25T23:00:00"), (999, 2, "2022-02-25T00:00:00", "2022-02-25T23:00:00"),
          (205, 2, "2022-02-25T05:00:00", "2022-02-25T00:00:00"), (205, 2, "2022-01-01T00:00:00", "2022-12-31T00:00:00")],
         "station_code long, item_code long, start string, end string",
     ).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
-    answer, rejects = forecast.forecast_requests(loaded["forecast", 204, 2], requests)
+    answer, rejects = forecast.forecast_requests(loaded["forecast", 1], requests)
     assert answer.count() == 24 + 364 * 24 + 1 and rejects.count() == 2  # no bound on the length of a range
     assert answer.filter("predicted_value IS NULL").count() == 0
 
@@ -68,8 +68,8 @@ def test_anomaly_scoring_and_stream(spark, readings, tmp_path):
     seen = scored[scored["label"] == 1]
     assert seen["is_anomaly"].mean() > 0.6
 
-    store.save_anomaly(model, str(tmp_path / "models"), 204, 2)
-    model = store.load_models(spark, str(tmp_path / "models"))["anomaly", 204, 2]
+    store.save_model(model, str(tmp_path / "models"))
+    model = store.load_models(spark, str(tmp_path / "models"))["anomaly", 1]
 
     unknown = spark.createDataFrame([(999, 2)], "station_code long, item_code long").withColumns(
         {TS: F.lit("2022-03-01").cast("timestamp_ntz"), "clean_value": F.lit(1.0)}
