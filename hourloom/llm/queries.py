@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourloom.llm import alignment, decontaminate, language, merkle, packing, quality, setsketch, simhash, suffixes, superkmers, toxicity, urls, warc
+from hourloom.llm.oracle import SQL  # noqa: F401
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -64,6 +65,14 @@ def op8_urls(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(_table(spark, folder, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def url_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """The part of the URL filter that is no model: address, longest rule that fits and what it decides."""
+    host, path = urls.address(F.col("url"))
+    pages = _table(spark, folder, "pages").select("page_id", host.alias("host"), path.alias("path"))
+    found = urls.matched_rule(F.col("host"), F.col("path"))
+    return pages.select("page_id", "host", "path", found["rule"].alias("rule"), found["verdict"].alias("rule_verdict"))
+
+
 def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     found = quality.quality_rules(_table(spark, folder, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -90,11 +99,10 @@ QUERIES = {
     "op6_decontaminate": op6_decontaminate,
     "op7_warc": op7_warc,
     "op8_urls": op8_urls,
+    "url_rules": url_rules,
     "op9_quality": op9_quality,
     "op10_language": op10_language,
     "op11_alignment": op11_alignment,
     "op12_setsketch": op12_setsketch,
     "op13_merkle": op13_merkle,
 }
-
-SQL: dict[str, str] = {}
