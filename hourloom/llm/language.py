@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -16,8 +15,8 @@ from pyspark.sql import types as T
 from hourloom.llm.common import field, id_text, map_batches, map_partition, slices
 from hourloom.llm.toxicity import held_out
 
-#: Bounds of the training sample: texts of each language, passages of a text, words of a passage, and languages.
-TEXTS, PASSAGES, PASSAGE_WORDS, LANGUAGES = 400, 2, 40, 200
+#: Bounds of the training sample: texts of each language, passages of a text and words of a passage.
+TEXTS, PASSAGES, PASSAGE_WORDS = 400, 2, 40
 FEATURE_BITS = 16
 LEXICON_WORDS = 300
 EPOCHS, RATE = 6, 0.3
@@ -27,7 +26,6 @@ AFFIXES = (1, 2, 3, 4)
 MEMO_WORDS = 200_000
 BATCH_CHARS = 1 << 20
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -71,7 +69,7 @@ def words_of(text: str | None) -> list[str]:
     words = (text or "").split()
     if max(map(len, words), default=0) > UNIT_CHARS:
         words = [w[i : i + UNIT_CHARS] for w in words for i in range(0, len(w), UNIT_CHARS)]
-    return [w for w in words if w.isalpha() or _LETTER.search(w)]
+    return [w for w in words if w.isalpha() or any(map(str.isalpha, w))]
 
 
 def _emissions(words: list[str], weights: np.ndarray, lexicon: dict) -> np.ndarray:
@@ -218,12 +216,12 @@ def label_texts(texts: list[str | None], model: dict, memo: Memo | None = None)
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict:
     """Fit on a bounded sample of rows with a language, outside the held-out part (crc32 of the id mod 3 = 1).
 
-    About ``TEXTS`` texts of each of up to ``LANGUAGES`` most frequent languages, chosen by a hash of the id; of each up
+    About ``TEXTS`` texts of each language, however rare, chosen by a hash of the id; of each up
     to ``PASSAGES`` passages of ``PASSAGE_WORDS`` words, spread over the text, are cut out where the text lies.
     """
     rows = docs.select(F.col(id_col).alias("_hl_id"), F.col(text_col).alias("_hl_text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("_hl_text").isNotNull() & F.col("_hl_id").isNotNull() & ~held_out(F.col("_hl_id"), 3, 1))
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").collect()
     if not counts:
         return fit([], [])
     share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, TEXTS / r["n"])))])

@@ -299,6 +299,11 @@ def test_network_gradient():
         assert abs((loss(up) - loss(down)) / 2e-4 - g[name][place]) < 1e-4, name
 
 
+def test_every_language_is_learnt(spark):
+    docs = spark.createDataFrame([(i, f"w{i % 210}x q{i % 210}", f"l{i % 210:03d}") for i in range(840)], "doc_id long, text string, lang string")
+    assert len(language.train(docs)["names"]) == 210
+
+
 def test_language(spark):
     rng = random.Random(3)
     stems = {"aa": ["ka", "lo", "mi", "ta"], "bb": ["stra", "wei", "schu", "gen"], "cc": ["qui", "eau", "ment", "ois"]}
@@ -313,6 +318,7 @@ def test_language(spark):
 
 
 def test_words_without_spaces_are_read_whole():
+    assert language.words_of("½ ² ³ Ⅷ 12 _") == [] and language.words_of("a½ été 中文") == ["a½", "été", "中文"]
     assert language.words_of("ab" * 50 + " 1 " + "7" * 80 + "x") == ["ab" * 20, "ab" * 20, "ab" * 10, "x"]
     model = language.fit([["kalo", "mita"], ["weisch", "strage"]] * 60, ["aa", "bb"] * 60)
     assert [x for x, _ in language.label_texts(["kalo" * 10 + "weischstra" * 40, "weischstra" * 4 + "kalomita" * 50], model)] == ["bb", "aa"]
