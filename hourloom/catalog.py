@@ -40,7 +40,7 @@ def query(build: Query) -> Query:
 
 @query
 def landing_pollutants(spark, folder):
-    counts = tb.readings(spark, folder).groupBy("item_code").agg(F.count("*").alias("n_readings"))
+    counts = tb.readings(spark, folder).groupBy("item_code").agg(F.sum("n").alias("n_readings"))
     return decimals_to_double(tb.layers(spark, folder)["lnd_pollutants"]).join(counts, "item_code", "left")
 
 

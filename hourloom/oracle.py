@@ -22,18 +22,17 @@ WEATHER = [
 
 BASE: dict[str, str] = {}
 
-BASE["packed"] = f"""
+BASE["line_sums"] = f"""
 SELECT {HOUR.format('l_shipdate')} AS measurement_datetime, l_suppkey + 204 AS station_code,
-  {ITEMS.format('l_linenumber')} AS item_code,
-  min(l_orderkey * 1000 + l_linenumber * 100 + CAST(l_quantity AS BIGINT)) AS p
+  {ITEMS.format('l_linenumber')} AS item_code, CAST(sum(l_orderkey) AS BIGINT) AS ord, CAST(sum(l_linenumber) AS BIGINT) AS num,
+  CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS total, count(*) AS n
 FROM lineitem GROUP BY ALL"""
-BASE["parts"] = "SELECT *, p // 1000 AS ord, (p // 100) % 10 AS num FROM packed"
 BASE["readings"] = f"""
-SELECT measurement_datetime, station_code, item_code, ord,
-  CASE WHEN (ord + num) % 17 = 0 THEN -1.0 ELSE p % 100 END::DOUBLE AS raw,
+SELECT measurement_datetime, station_code, item_code, ord, n,
+  CASE WHEN (ord + num) % 17 = 0 THEN -1.0 ELSE total END::DOUBLE AS raw,
   CAST(CASE (ord * 3 + num) % 20 WHEN 0 THEN 9 WHEN 1 THEN 4 WHEN 2 THEN 8 WHEN 3 THEN 1 WHEN 4 THEN NULL ELSE 0 END AS BIGINT) AS status,
   {LAT.format('station_code')} AS latitude, {LON.format('station_code')} AS longitude
-FROM parts"""
+FROM line_sums"""
 BASE["lnd_measurements"] = (
     "SELECT measurement_datetime, station_code, latitude, longitude, "
     + ", ".join(
@@ -149,7 +148,7 @@ def share(part: str, whole: str = "count(*)") -> str:
 
 # --- layers ------------------------------------------------------------------
 
-oracle("landing_pollutants", "SELECT item_code::BIGINT AS item_code, item_name, unit_of_measurement, good::DOUBLE AS good, normal::DOUBLE AS normal, bad::DOUBLE AS bad, very_bad::DOUBLE AS very_bad, n_readings FROM lnd_pollutants LEFT JOIN (SELECT item_code, count(*) AS n_readings FROM readings GROUP BY ALL) USING (item_code)")
+oracle("landing_pollutants", "SELECT item_code::BIGINT AS item_code, item_name, unit_of_measurement, good::DOUBLE AS good, normal::DOUBLE AS normal, bad::DOUBLE AS bad, very_bad::DOUBLE AS very_bad, n_readings FROM lnd_pollutants LEFT JOIN (SELECT item_code, CAST(sum(n) AS BIGINT) AS n_readings FROM readings GROUP BY ALL) USING (item_code)")
 oracle("unpivot_long", "SELECT measurement_datetime, station_code, latitude, longitude, item_code, value FROM measurements_long")
 oracle("join_status", "SELECT measurement_datetime, station_code, latitude, longitude, item_code, item_name, value, instrument_status FROM measurements_with_status")
 oracle("clean_contract", "SELECT * FROM measurements_clean")

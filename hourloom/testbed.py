@@ -47,30 +47,33 @@ def longitude(station="station_code"):
 
 
 def readings(spark: SparkSession, folder: str) -> DataFrame:
-    """One reading per (hour, station, item): the line with the smallest order.
+    """One reading per (hour, station, item), from all its lines.
 
-    Columns: key, ``raw`` (double, -1 for missing), ``status`` (NULL without an
-    instrument row), ``order`` and coordinates.
+    Columns: key, ``raw`` (double, the sum of the quantities, -1 for missing), ``status`` (NULL without an
+    instrument row), ``order`` (sum of the order keys), ``n`` (number of lines) and coordinates.
     """
     line = table(spark, folder, "lineitem")
     item = F.element_at(F.array(*[F.lit(c) for c in ITEM_COLUMNS]), (F.col("l_linenumber") % 6 + 1).cast("int"))
-    # order, line number and quantity packed in one long: the minimum aggregates map-side
-    packed = F.col("l_orderkey") * 1000 + F.col("l_linenumber") * 100 + F.col("l_quantity").cast("long")
-    first = line.groupBy(
+    sums = line.groupBy(
         _hour_of("l_shipdate").alias(TS),
         (F.col("l_suppkey") + 204).alias("station_code"),
         item.cast("long").alias("item_code"),
-    ).agg(F.min(packed).alias("_p"))
-    order, number = F.expr("_p div 1000"), F.expr("_p div 100 % 10")
-    turn = (order * 3 + number) % 20
-    return first.select(
+    ).agg(
+        F.sum("l_orderkey").alias("order"),
+        F.sum("l_linenumber").cast("long").alias("_number"),
+        F.sum(F.col("l_quantity").cast("long")).cast("double").alias("_total"),
+        F.count(F.lit(1)).alias("n"),
+    )
+    turn = (F.col("order") * 3 + F.col("_number")) % 20
+    return sums.select(
         TS,
         "station_code",
         "item_code",
-        order.alias("order"),
-        F.when((order + number) % 17 == 0, -1.0).otherwise((F.col("_p") % 100).cast("double")).alias("raw"),
+        "order",
+        F.when((F.col("order") + F.col("_number")) % 17 == 0, -1.0).otherwise(F.col("_total")).alias("raw"),
         F.when(turn == 0, 9).when(turn == 1, 4).when(turn == 2, 8).when(turn == 3, 1).when(turn == 4, None)
         .otherwise(0).cast("long").alias("status"),
+        "n",
         latitude().alias("latitude"),
         longitude().alias("longitude"),
     )

@@ -65,3 +65,13 @@ def test_weather_json(spark, tmp_path):
     sinks.write_weather_cache(got, f"{tmp_path}/cache")
     again = readers.read_weather_cache(spark, f"{tmp_path}/cache")
     assert again.exceptAll(got.select(again.columns)).count() == 0
+
+
+def test_readings_hold_every_line(spark):
+    folder = "/root/testdata/sf0.001"
+    line = tb.table(spark, folder, "lineitem")
+    rows = tb.readings(spark, folder)
+    assert rows.count() < line.count()  # some lines share hour, station and item
+    got = rows.agg(F.sum("n"), F.sum("order"), F.sum(F.when(F.col("raw") >= 0, F.col("raw")))).first()
+    assert tuple(got)[:2] == tuple(line.agg(F.count(F.lit(1)), F.sum("l_orderkey")).first())
+    assert 0 < got[2] <= line.agg(F.sum("l_quantity")).first()[0]
