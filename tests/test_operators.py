@@ -307,3 +307,22 @@ def test_quantile_leaves_are_residual_quantiles(spark):
         rank = int(np.ceil(0.95 * len(part))) - 1
         nearby = np.sort(part["y"])[rank - 1 : rank + 2]
         assert part["q"].nunique() == 1 and nearby[0] <= part["q"].iloc[0] <= nearby[-1]
+
+
+def test_linked_series_fill_without_a_join_on_hours(spark):
+    """Rows of one hour, rows without an hour, and no join that repeats each target hour per neighbour."""
+    hours = [datetime(2021, 1, 1, h) for h in (0, 1, 1, 2, 3)] + [None]
+    key = "station_code long, item_code long, measurement_datetime timestamp_ntz"
+    targets = spark.createDataFrame([(1, 5, t) for t in hours], key)
+    rows = [(2, 5, hours[1], 4.0), (3, 5, hours[3], 10.0), (3, 5, hours[4], 20.0)]
+    readings = spark.createDataFrame(rows, f"{key}, clean_value double")
+    near = spark.createDataFrame([(1, 2, 0.75), (1, 3, 0.25)], "station_code long, neighbor_code long, weight double")
+    out = spatial.spatial_features(targets, readings, near)
+    got = sorted((r[2].hour if r[2] else 9, r["spatial_idw_mean"], r["spatial_std"]) for r in out.collect())
+    one, two = math.sqrt(18.0), math.sqrt(36.0 / 3)
+    want = [(0, 5.5, one), (1, 11.0, two), (1, 11.0, two), (2, 5.5, one), (3, 8.0, math.sqrt(128.0)), (9, 0.0, None)]
+    assert [(h, m) for h, m, _ in got] == [(h, m) for h, m, _ in want]
+    np.testing.assert_allclose([s for *_, s in got[:-1]], [s for *_, s in want[:-1]])
+    assert got[-1][2] is None
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Join" in line and "_hour" in line]
