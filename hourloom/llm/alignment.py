@@ -12,6 +12,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -167,19 +168,23 @@ class Aligner:
     def full(self) -> bool:
         return len(self.groups) > MEMO_WORDS or len(self.pairs) > MEMO_PAIRS
 
-    def units(self, texts: list[str | None]) -> list[list[int]]:
+    def units(self, texts: list[str | None]) -> list[np.ndarray]:
         """The units of each text; none where it has no tokens."""
-        cut = [[] if not t else [t] if not self.tokens.by_word or _UNSAFE.search(t) else t.split(" ") for t in texts]
-        split = [len(words) != 1 for words in cut]  # a text of one unit may be a whole text that is no word
-        new = {w for words, by_word in zip(cut, split) if by_word for w in words if w not in self.numbers}
-        self._learn(sorted(new), self.tokens.encode_words)
-        self._learn(sorted({words[0] for words in cut if len(words) == 1} - self.numbers.keys()), self.tokens.encode)
-        out = [[self.numbers[w] for w in words] for words in cut]
-        odd = [i for i, own in enumerate(out) if -1 in own]
-        self._learn(sorted({texts[i] for i in odd} - self.numbers.keys()), self.tokens.encode)
+        # a text of one unit may be a whole text that is no word
+        split = [bool(t) and self.tokens.by_word and " " in t and not _UNSAFE.search(t) for t in texts]
+        lists = pc.split_pattern(pa.array([t for t, by_word in zip(texts, split) if by_word], pa.large_string()), " ")
+        coded = lists.flatten().dictionary_encode()
+        words, whole = coded.dictionary.to_pylist(), {t for t, by_word in zip(texts, split) if t and not by_word}
+        self._learn([w for w in words if w not in self.numbers], self.tokens.encode_words)
+        self._learn(list(whole - self.numbers.keys()), self.tokens.encode)
+        numbers = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()]
+        cut = iter(np.split(numbers, lists.offsets.to_numpy()[1:-1]))
+        out = [next(cut) if by_word else np.array([self.numbers[t]] if t else [], np.int64) for t, by_word in zip(texts, split)]
+        odd = [i for i, own in enumerate(out) if len(own) and own.min() < 0]
+        self._learn(list({texts[i] for i in odd} - self.numbers.keys()), self.tokens.encode)
         for i in odd:
             number = self.numbers[texts[i]]
-            out[i] = [] if number < 0 else [number]
+            out[i] = np.array([] if number < 0 else [number], np.int64)
         return out
 
     def _learn(self, words: list[str], encode: Callable) -> None:
@@ -224,26 +229,25 @@ class Aligner:
         if not self.shown:
             self.groups += [""] * len(n_groups)
             return
-        one, two, i, j, parts = [_NAMES[x] for x in a.tolist()], [_NAMES[x] for x in b.tolist()], 0, 0, []
-        for x, y in zip(in_a.tolist(), in_b.tolist()):
-            if x == y == 1:
-                parts.append(f"{one[i]}|{two[j]}")
-            else:
-                parts.append(f"{','.join(one[i : i + x])}|{','.join(two[j : j + y])}")
-            i, j = i + x, j + y
+        one, two = [_NAMES[x] for x in a.tolist()], [_NAMES[x] for x in b.tolist()]
+        at_a, at_b = np.cumsum(in_a) - in_a, np.cumsum(in_b) - in_b
+        parts = list(map("|".join, zip(map(one.__getitem__, at_a.tolist()), map(two.__getitem__, at_b.tolist()))))
+        wide = np.flatnonzero((in_a > 1) | (in_b > 1))  # the others hold one token of each
+        for g, i, x, j, y in zip(*[v.tolist() for v in (wide, at_a[wide], in_a[wide], at_b[wide], in_b[wide])]):
+            parts[g] = f"{','.join(one[i : i + x])}|{','.join(two[j : j + y])}"
         ends = np.cumsum(n_groups).tolist()
         self.groups += [";".join(parts[p:q]) for p, q in zip([0, *ends], ends)]
 
     def pairs_in(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For an array of units: the position there, the pair and its number of links."""
-        ends = np.array(self.ends, np.int64)
+        ends, pairs, times = (np.frombuffer(v, np.int64) if len(v) else np.zeros(0, np.int64) for v in (self.ends, self.pairs, self.times))
         start, width = ends[units], ends[units + 1] - ends[units]
         owner = np.repeat(np.arange(len(units)), width)
         at = np.arange(len(owner)) - np.repeat(np.cumsum(width) - width, width) + np.repeat(start, width)
-        return owner, np.array(self.pairs, np.int64)[at], np.array(self.times, np.int64)[at]
+        return owner, pairs[at], times[at]
 
 
-def _slices(batches: Iterator[dict], aligner: Aligner) -> Iterator[tuple[list[int], dict, list[list[int]]]]:
+def _slices(batches: Iterator[dict], aligner: Aligner) -> Iterator[tuple[list[int], dict, list[np.ndarray]]]:
     """``(row numbers, batch, units)`` of some rows at a time; the aligner starts afresh when it has grown too large."""
     for batch in batches:
         texts, at = batch["_hl_text"], 0
@@ -289,9 +293,9 @@ def partial_counts(rows: DataFrame, a_path: str, b_path: str) -> DataFrame:
             yield {"part": [part] * len(own), "sector": own, "pairs": [keys[s] for s in split], "counts": [counts[s] for s in split]}
 
         for _, _, units in _slices(batches, aligner):
-            sizes = [len(set(u)) for u in units]
-            flat = np.array([i for u in units for i in set(u)], np.int64)
-            owner, pair, _ = aligner.pairs_in(flat)
+            held = [np.unique(u) for u in units]
+            sizes = list(map(len, held))
+            owner, pair, _ = aligner.pairs_in(np.concatenate(held))
             document = np.repeat(np.arange(len(units)), sizes)[owner]
             seen = np.unique(document << 32 | pair) & 0xFFFFFFFF  # each pair once a document
             new, times = np.unique(seen, return_counts=True)
@@ -430,12 +434,12 @@ def _output(rows: DataFrame, extra: list[T.StructField]) -> T.StructType:
     return T.StructType([field(rows, "_hl_id"), *extra, *numbers, T.StructField("groups", T.StringType()), T.StructField("groups_sha256", T.StringType())])
 
 
-def _totals(aligner: Aligner, units: list[list[int]], sums: np.ndarray) -> list[list]:
+def _totals(aligner: Aligner, units: list[np.ndarray], sums: np.ndarray) -> list[list]:
     """Sums of the units' numbers per text, their groups and the digest of these."""
     ends = np.cumsum([len(u) for u in units])
-    running = np.concatenate((np.zeros((1, sums.shape[1]), np.int64), np.cumsum(sums[np.array([i for u in units for i in u], np.int64)], axis=0)))
+    running = np.concatenate((np.zeros((1, sums.shape[1]), np.int64), np.cumsum(sums[np.concatenate(units)], axis=0)))
     totals = running[ends] - running[np.concatenate(([0], ends[:-1]))]
-    groups = [";".join([aligner.groups[i] for i in u]) for u in units]
+    groups = [";".join(map(aligner.groups.__getitem__, u.tolist())) for u in units]
     return [*totals.T.tolist(), groups, [sha256(g.encode()).hexdigest() if g else "" for g in groups]]
 
 
@@ -458,7 +462,7 @@ def _looked_up(rows: DataFrame, index: DataFrame, best: DataFrame, a_path: str,
                 owner, pair, times = aligner.pairs_in(np.arange(known, n))
                 counts = counted.counts(pair)
                 new = np.zeros((n - known, len(MADE)), np.int64)
-                new[:, :4] = np.array(aligner.facts, np.int64).reshape(-1, 4)[known:]
+                new[:, :4] = np.frombuffer(aligner.facts, np.int64).reshape(-1, 4)[known:]
                 np.add.at(new[:, 4], owner, times * (counts == top[pair >> 16]))
                 np.add.at(new[:, 5], owner, times * counts)
                 sums = np.concatenate((sums, new))
@@ -476,8 +480,7 @@ def _joined(rows: DataFrame, index: DataFrame, best: DataFrame, a_path: str, b_p
     def pairs(batches: Iterator[dict]) -> Iterator[dict]:
         aligner = Aligner(a_path, b_path, shown=False)
         for numbers, batch, units in _slices(batches, aligner):
-            flat = np.array([i for u in units for i in u], np.int64)
-            owner, pair, times = aligner.pairs_in(flat)
+            owner, pair, times = aligner.pairs_in(np.concatenate(units))
             document = np.repeat(np.arange(len(units)), [len(u) for u in units])[owner]
             own, inverse = np.unique(document << 32 | pair, return_inverse=True)
             row = [numbers[i] for i in (own >> 32).tolist()]

@@ -137,3 +137,12 @@ def test_vectors_add_up_over_many_tasks(spark, monkeypatch):
     rows = [(i, t) for i, t in texts()] * 3
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
     assert sorted(map(tuple, alignment.align(docs).select(*NAMES).collect()), key=str) == sorted(brute(rows), key=str)
+
+
+def test_units_are_numbered_alike_in_any_slices():
+    texts = ["ab cd ab", None, "", "one", "ab  cd", " cd", "ab\ncd ef", "cd ", "ef ab one", "▁ x", "\uac00 é ab"]
+    at_once = alignment.Aligner(alignment.vocabulary_file(), alignment.piece_file())
+    one_by_one = alignment.Aligner(alignment.vocabulary_file(), alignment.piece_file())
+    shown = [[[a.groups[i] for i in u] for u in own] for a, own in ((at_once, at_once.units(texts)), (one_by_one, [one_by_one.units([t])[0] for t in texts]))]
+    assert shown[0] == shown[1]
+    assert [len(u) for u in shown[0]] == [3, 0, 0, 1, 1, 1, 2, 1, 3, 0, 3]
