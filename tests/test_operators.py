@@ -326,3 +326,18 @@ def test_linked_series_fill_without_a_join_on_hours(spark):
     assert got[-1][2] is None
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.splitlines() if "Join" in line and "_hour" in line]
+
+
+@pytest.mark.parametrize("n", [1, 2, 90, 300])
+def test_forest_of_a_short_series_is_kept_as_its_rows(spark, monkeypatch, n):
+    df = forest_rows(spark).limit(n).cache()
+    small = forest.fit_forest(df, ["a", "b"], ["k"], "t").cache()
+    monkeypatch.setattr(forest, "SMALLER", 1 << 40)
+    grown = forest.fit_forest(df, ["a", "b"], ["k"], "t").cache()
+    row, full = small.first(), grown.first()
+    assert full["feature"] is not None and full["rows"] is None
+    assert (row["trees"], row["sampled"]) == (full["trees"], full["sampled"]) == (forest.FOREST_TREES, min(n, 256))
+    held = sum(len(row[c] or []) for c in [*forest.TREES, *forest.ORIGIN])
+    assert held <= 3 * n + 3 < len(full["split"])
+    scores = [sorted(map(tuple, forest.forest_scores(df, f, ["a", "b"], keys=["k"], ts="t").select("t", "iso_score").collect())) for f in (small, grown)]
+    assert len(scores[0]) == n and scores[0] == scores[1]
