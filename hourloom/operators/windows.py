@@ -16,6 +16,7 @@ from hourloom.operators.ordered import (
     chunk_carry,
     over_chunks,
     row_positions,
+    with_halo,
 )
 from hourloom.schemas import SERIES, TS
 
@@ -69,22 +70,25 @@ def spike(w, value: str) -> Column:
     return F.abs(F.col(value) - (F.lag(value).over(w) + F.lead(value).over(w)) / 2)
 
 
-def lookback(w, value: str, n: int) -> Column:
-    """Array of the n previous values, oldest first; NULL until the window is full."""
-    frame = w.rowsBetween(-n, -1)
-    # wrapped in a struct, because collect_list leaves out bare NULLs
-    held = F.collect_list(F.struct(F.col(value).alias("v"))).over(frame)
-    return F.when(F.count(F.lit(1)).over(frame) == n, held.getField("v"))
-
-
 # --- frame operators ---------------------------------------------------------
 
 
 def lookbacks(df: DataFrame, n: int, keys=SERIES, ts: str = TS, value: str = "clean_value") -> DataFrame:
     """Rows that have n predecessors, with those values as an array."""
-    rows = row_positions(df, keys, ts)
-    out = over_chunks(rows, keys, "_pos", lambda w: {"lookback": lookback(w, value, n)}, before=n)
-    return out.filter(F.col("_pos") >= n).drop("_pos")
+    keys, rows = list(keys), row_positions(df, keys, ts)
+    framed = with_halo(rows, "_pos", before=n).repartition(*keys, "_chunk")
+    block = F.floor((F.col("_pos") - F.col("_chunk") * CHUNK) / n)  # -1: the copies from the chunk before
+    other = [c for c in rows.columns if c not in [*keys, "_pos"]]
+    blocks = framed.groupBy(*keys, "_chunk", block.alias("_block")).agg(
+        F.sort_array(F.collect_list(F.struct("_pos", *other))).alias("_rows")
+    )
+    w = Window.partitionBy(*keys, "_chunk").orderBy("_block")
+    held = F.concat(F.lag(f"_rows.{value}").over(w), F.col(f"_rows.{value}"))
+    # a row's n predecessors end the block before and begin its own
+    around = blocks.select(*keys, "_block", "_rows", held.alias("_held")).filter("_block >= 0")
+    each = around.select(*keys, "_held", F.posexplode("_rows").alias("_i", "_row")).filter(F.col("_row._pos") >= n)
+    out = each.withColumn("lookback", F.slice("_held", F.col("_i") + 1, n))
+    return out.select(*[F.col(c if c in keys else f"_row.{c}") for c in rows.columns if c != "_pos"], "lookback")
 
 
 def lags_and_diffs(df: DataFrame, keys=SERIES, ts: str = TS, value: str = "clean_value", lags=LAGS) -> DataFrame:

@@ -187,3 +187,14 @@ def test_several_readings_in_an_hour_count_as_their_mean(spark):
     bounds = spark.createDataFrame([(1,)], "k int").select("k", hour_index(F.lit("2023-01-01 08:00:00").cast("timestamp_ntz")).alias("_low"))
     held = ordered.hold(df, bounds.withColumn("_high", F.col("_low") + 4), ["k"], "t", "v").orderBy("_hour").collect()
     assert [r.last_value for r in held] == [1.0, 1.0, 3.0, 3.0, 5.0]
+
+
+def test_lookbacks_over_chunks_and_missing_values(spark):
+    n, values = 48, [None if i % 7 == 0 else float(i) for i in range(8192 + 500)]
+    rows = spark.createDataFrame([(1, 2, i, v, f"x{i}") for i, v in enumerate(values)], "station_code long, item_code long, i long, clean_value double, note string")
+    rows = rows.withColumn(TS, F.expr("timestamp_ntz'2021-01-20 00:00:00' + make_dt_interval(0, i * 2)"))
+    got = windows.lookbacks(rows, n)
+    assert set(got.columns) == {*rows.columns, "lookback"}
+    found = {r["i"]: r for r in got.collect()}
+    assert sorted(found) == list(range(n, len(values)))
+    assert all(r["lookback"] == values[i - n : i] and r["note"] == f"x{i}" and r["clean_value"] == values[i] for i, r in found.items())
