@@ -120,6 +120,20 @@ def test_correlations(spark):
             assert abs(r.r - want.loc[r.station_a, r.station_b]) < 1e-9
 
 
+def test_correlations_leave_their_tasks_finished(spark):
+    rows = spark.range(40 * 90).selectExpr(
+        "id % 40 AS station_code",
+        "CAST(hash(id) % 50 AS double) AS value",
+        "timestamp_ntz'2021-01-01 00:00:00' + make_interval(0, 0, 0, 0, CAST(id DIV 40 AS int)) AS measurement_datetime",
+    )
+    got = panels.correlations(rows, block=3, slab=20)
+    assert "hashpartitioning(a#" not in got._jdf.queryExecution().toString()  # no shuffle of pairs
+    want = rows.toPandas().assign(h=lambda p: p["measurement_datetime"]).pivot(index="h", columns="station_code", values="value").corr()
+    found = got.toPandas()
+    assert len(found) == 1600 and (found["n"] == 90).all()
+    assert all(abs(r.r - want.loc[r.station_a, r.station_b]) < 1e-9 for r in found.itertuples())
+
+
 def test_histogram_of_equal_values(spark):
     df = spark.createDataFrame([(4.0,)] * 5 + [(None,)], "value double")
     got = panels.histogram(df, bins=4).orderBy("bin").collect()
