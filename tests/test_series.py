@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hourloom.functions.calendar import hour_index
-from hourloom.operators import ordered, windows
+from hourloom.operators import ordered, profiles, windows
 from hourloom.schemas import SERIES, TS
 
 
@@ -198,3 +198,35 @@ def test_lookbacks_over_chunks_and_missing_values(spark):
     found = {r["i"]: r for r in got.collect()}
     assert sorted(found) == list(range(n, len(values)))
     assert all(r["lookback"] == values[i - n : i] and r["note"] == f"x{i}" and r["clean_value"] == values[i] for i, r in found.items())
+
+
+def test_profile_of_series_cut_by_batches(spark):
+    rng = np.random.default_rng(5)
+    hours = rng.integers(0, 900, 500)
+    values = [None if rng.random() < 0.2 else float(v) for v in rng.integers(0, 90, 500)]
+    rows = [(i % 9 or None, 0, (pd.Timestamp("2021-01-01") + pd.Timedelta(int(h), "h")).to_pydatetime(), v) for i, (h, v) in enumerate(zip(hours, values))]
+    rows += [(5, 0, None, 7.0), (77, 0, rows[0][2], None)]
+    df = spark.createDataFrame(rows, "station_code long, item_code long, measurement_datetime timestamp_ntz, clean_value double")
+    at_once = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(at_once)
+    spark.conf.set(at_once, 7)
+    try:
+        profile = profiles.calendar_profile(df)
+        assert "Window" not in profile._jdf.queryExecution().executedPlan().toString()  # one sort serves all levels
+        got = profile.toPandas()
+    finally:
+        spark.conf.set(at_once, before)
+    pdf = pd.DataFrame(rows, columns=["station_code", "item_code", TS, "clean_value"])
+    pdf[TS] = pd.to_datetime(pdf[TS])
+    cells = {"month": pdf[TS].dt.month, "day_of_week": pdf[TS].dt.dayofweek, "hour": pdf[TS].dt.hour}
+    keyed = pdf.assign(**cells)[["station_code", *cells, "clean_value", TS]].fillna({"station_code": -1, "month": -1, "day_of_week": -1, "hour": -1})
+    got = got.fillna({"station_code": -1, "month": -1, "day_of_week": -1, "hour": -1})
+    assert len(got) == len(keyed.groupby(["station_code", *cells]))
+    for level, columns in profiles.LEVELS.items():
+        want = keyed.groupby(["station_code", *columns])["clean_value"].agg(["count", "mean", "std"]).reset_index()
+        both = got.merge(want, on=["station_code", *columns])
+        assert len(both) == len(got) and (both[f"n_{level}"] == both["count"]).all()
+        same(both[[f"mean_{level}", f"std_{level}"]], both[["mean", "std"]])
+    first = keyed.groupby("station_code")[TS].min().rename("want").reset_index()
+    both = got.merge(first, on="station_code")
+    assert (both["epoch"] == both["want"]).all()
