@@ -230,3 +230,10 @@ def test_profile_of_series_cut_by_batches(spark):
     first = keyed.groupby("station_code")[TS].min().rename("want").reset_index()
     both = got.merge(first, on="station_code")
     assert (both["epoch"] == both["want"]).all()
+
+
+def test_hourly_rows_are_dealt_by_number(spark, df):
+    plan = ordered.fill_hourly(df, SERIES)._jdf.queryExecution().executedPlan().toString()
+    wanted = ordered.spread_over(df)
+    assert wanted > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert f", {wanted}), REPARTITION_BY_NUM" in plan  # partitions that AQE leaves as they are
