@@ -4,8 +4,8 @@ import datetime as dt
 
 import pytest
 
-from hourloom.operators import spatial
-from hourloom.schemas import WEATHER_POINTS, WEATHER_VARIABLES
+from hourloom.operators import evaluate, ordered, spatial
+from hourloom.schemas import SERIES, WEATHER_POINTS, WEATHER_VARIABLES
 
 HOUR = dt.datetime(2021, 3, 1, 5)
 
@@ -39,3 +39,16 @@ def test_weather_climatology_adds_up_no_rows_per_station_and_hour(spark):
     assert got[1, 5][second] == pytest.approx(want)
     assert got[1, 6][first] == pytest.approx(sum(weights[n] * 10.0 * k for k, n in enumerate(names)))  # filled from the hour before
     assert got[2, 5][second] is None and got[3, 5][second] is not None  # a station listed twice, one without a place
+
+
+def test_metrics_of_series_sum_after_the_shuffle_only(spark):
+    rows = spark.createDataFrame(
+        [(1, 0, "a", 1.0, 2.0), (1, 0, "a", 3.0, 3.0), (1, 0, "b", 0.0, 1.0), (None, 0, "a", 2.0, None)],
+        "station_code long, item_code long, model string, y_true double, y_pred double",
+    )
+    found = evaluate.forecast_metrics(rows, [*SERIES, "model"])
+    plan = plan_of(found)
+    assert f", {ordered.spread_over(rows)}), REPARTITION_BY_NUM" in plan and plan.count("Exchange") == 1
+    got = {(r["station_code"], r["model"]): r for r in found.collect()}
+    assert got[1, "a"]["mae"] == 0.5 and got[1, "a"]["n_samples"] == 2 and got[None, "a"]["n_samples"] == 1
+    assert evaluate.forecast_metrics(rows).collect()[0]["n_samples"] == 4
