@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hourloom.functions.calendar import season
 from hourloom.functions.scalars import air_quality, sentinel_to_null
+from hourloom.operators.ordered import spread_over
 from hourloom.schemas import ITEM_COLUMNS, MISSING_STATUS, READING_KEY, TS
 
 # fixed values: seed column -> landing column; seed unit typo -> unit
@@ -29,6 +30,7 @@ LAYERS = {
     "dashboard_wide": "presentation",
 }
 NUMERIC = "decimal(38,9)"
+STATUSES = "_statuses"
 
 
 def land_measurements(raw: DataFrame) -> DataFrame:
@@ -63,22 +65,47 @@ def land_pollutants(raw: DataFrame) -> DataFrame:
 
 
 def to_long(measurements: DataFrame) -> DataFrame:
-    """One row per station, hour and pollutant; a single pass over the wide table."""
-    codes = F.create_map(*[F.lit(x) for code, name in ITEM_COLUMNS.items() for x in (name, code)])
+    """One row per station, hour and pollutant; a single pass over the wide table, whose partitions stay as they are."""
     ids = [TS, "station_code", "latitude", "longitude"]
-    return measurements.unpivot(ids, list(ITEM_COLUMNS.values()), "_column", "value").select(
-        *ids, F.element_at(codes, F.col("_column")).cast("long").alias("item_code"), "value"
+    kept = [STATUSES] if STATUSES in measurements.columns else []
+    listed = F.array(
+        *[
+            F.struct(F.lit(code).cast("long").alias("item_code"), F.col(name).alias("value"))
+            for code, name in ITEM_COLUMNS.items()
+        ]
     )
+    return measurements.select(*ids, *kept, F.inline(listed))
+
+
+def with_statuses(rows: DataFrame, instruments: DataFrame) -> DataFrame:
+    """Adds the (item, status) pairs of each row's station-hour, NULL if there are none.
+
+    Whole station-hours are dealt over partitions, so picking a status and grouping by station and hour need no shuffle.
+    """
+    hour = [TS, "station_code"]
+    listed = (
+        instruments.select(*READING_KEY, "instrument_status")
+        .dropna(subset=list(READING_KEY))
+        .repartition(spread_over(instruments), *hour)
+        .groupBy(*hour)
+        .agg(F.collect_list(F.struct("item_code", "instrument_status")).alias(STATUSES))
+    )
+    return rows.repartition(spread_over(rows), *hour).join(listed, hour, "left")
 
 
 def with_status(long: DataFrame, instruments: DataFrame, pollutants: DataFrame) -> DataFrame:
-    """1:1 status join on all three keys; leaving out the item would fan out sixfold."""
-    status = instruments.select(*READING_KEY, "instrument_status")
+    """1:1 status join on all three keys; leaving out the item would fan out sixfold.
+
+    Rows that already hold the statuses of their station-hour are not joined again.
+    """
+    rows = long if STATUSES in long.columns else with_statuses(long, instruments)
     names = _per_code(pollutants, "item_name")
+    own = F.filter(STATUSES, lambda s: s["item_code"] == F.col("item_code"))
+    columns = [TS, "station_code", "latitude", "longitude", "item_code"]
     return (
-        long.join(status, list(READING_KEY), "left")
+        rows.select(*columns, "value", F.explode_outer(own).alias("_own"))
         .join(names, "item_code", "left")
-        .select(TS, "station_code", "latitude", "longitude", "item_code", "item_name", "value", "instrument_status")
+        .select(*columns, "item_name", "value", F.col("_own.instrument_status").alias("instrument_status"))
     )
 
 
@@ -128,7 +155,8 @@ def build_layers(measurement_data: DataFrame, instrument_data: DataFrame, pollut
     instruments = land_instruments(instrument_data)
     pollutants = land_pollutants(pollutant_data)
     long = to_long(measurements)
-    joined = with_status(long, instruments, pollutants)
+    # wide rows are shuffled, a sixth of the long ones
+    joined = with_status(to_long(with_statuses(measurements, instruments)), instruments, pollutants)
     cleaned = clean(joined, pollutants)
     return {
         "lnd_measurements": measurements,

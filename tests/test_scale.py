@@ -3,9 +3,11 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from hourloom.operators import evaluate, ordered, spatial
-from hourloom.schemas import SERIES, WEATHER_POINTS, WEATHER_VARIABLES
+from hourloom.plans import layers
+from hourloom.schemas import SERIES, TS, WEATHER_POINTS, WEATHER_VARIABLES
 
 HOUR = dt.datetime(2021, 3, 1, 5)
 
@@ -52,3 +54,27 @@ def test_metrics_of_series_sum_after_the_shuffle_only(spark):
     got = {(r["station_code"], r["model"]): r for r in found.collect()}
     assert got[1, "a"]["mae"] == 0.5 and got[1, "a"]["n_samples"] == 2 and got[None, "a"]["n_samples"] == 1
     assert evaluate.forecast_metrics(rows).collect()[0]["n_samples"] == 4
+
+
+def test_presentation_table_shuffles_no_long_rows(spark):
+    columns = ["so2_value", "no2_value", "co_value", "o3_value", "pm10_value", "pm2_5_value"]
+    measurements = spark.createDataFrame(
+        [(HOUR, 1, 1.0, 2.0, *[float(i) for i in range(6)]), (HOUR, 2, 1.0, 2.0, *[None] * 6), (None, 1, 1.0, 2.0, *[7.0] * 6)],
+        f"{TS} timestamp_ntz, station_code long, latitude double, longitude double, " + ", ".join(f"{c} double" for c in columns),
+    )
+    instruments = spark.createDataFrame(
+        [(HOUR, 1, 0, 0), (HOUR, 1, 8, 9), (HOUR, 1, 8, 4), (HOUR, 1, None, 8), (None, 1, 0, 1), (HOUR, 3, 0, 2)],
+        f"{TS} timestamp_ntz, station_code long, item_code long, instrument_status long",
+    )
+    pollutants = spark.createDataFrame([(0, "so2")], "item_code long, item_name string")
+    joined = layers.with_status(layers.to_long(layers.with_statuses(measurements, instruments)), instruments, pollutants)
+    wide = layers.to_wide(joined.withColumn("clean_value", F.col("value")))
+    shuffles = [line for line in plan_of(wide).splitlines() if "Exchange hashpartitioning" in line]
+    assert len(shuffles) == 2 and all("REPARTITION_BY_NUM" in line for line in shuffles)
+    statuses = {(r[TS], r["station_code"]): r["instrument_status"] for r in wide.collect()}
+    assert statuses == {(HOUR, 1): 9, (HOUR, 2): None, (None, 1): None}
+    def rows_of(df):
+        return sorted(((str(r[TS]), r["station_code"], r["item_code"], r["value"], r["instrument_status"]) for r in df.collect()), key=str)
+
+    assert joined.count() == 19  # two statuses of one reading stay two rows
+    assert rows_of(joined) == rows_of(layers.with_status(layers.to_long(measurements), instruments, pollutants))
